@@ -26,25 +26,25 @@ STATE = "field_name string, term string, n_occurrences long, n_rows long"
 
 
 def text_terms(text: Column) -> Column:
-    """Each occurrence of a term as struct(term, first), first being 1 once a row. Sorting finds repetitions in n log n."""
-    found = F.sort_array(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    return F.transform(found, lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get(found, i - 1) == x), 0).otherwise(1).alias("first")))
-
-
-def _entries(field: str, found: Column) -> Column:
-    """struct(field_name, term, o, r) for each term of a row's field, and one for its number of records; none where it is null."""
-    entry = F.transform(found, lambda t: F.struct(F.lit(field).alias("field_name"), t["term"].alias("term"), F.lit(1).alias("o"), t["first"].alias("r")))
-    record = F.array(F.struct(F.lit(TOTAL).alias("field_name"), F.lit(field).alias("term"), F.lit(1).alias("o"), F.lit(1).alias("r")))
-    return F.when(F.col(field).isNotNull(), F.concat(entry, record)).otherwise(F.slice(record, 1, 0))
+    """Each occurrence of a term."""
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
 
 
 def field_deltas(rows: DataFrame, texts: list[str], values: list[str], sign: Column) -> DataFrame:
     """Signed occurrences and records per field and term, and each field's signed number of records.
 
-    texts are split into terms, a value is one term as a whole.
+    texts are split into terms, a value is one term as a whole. A row gives each field's terms once with all
+    occurrences and once without repetitions; all of it is generated code, and summed up before the shuffle.
     """
-    given = [_entries(c, text_terms(F.col(c))) for c in texts] + [_entries(c, F.array(F.struct(F.col(c).alias("term"), F.lit(1).alias("first")))) for c in values]
-    each = rows.select(sign.alias("s"), F.concat(*given).alias("all")).select("s", F.inline("all"))
+    found = rows.select(sign.alias("s"), *(F.col(c).alias(f"v_{c}") for c in texts + values), *(text_terms(F.col(c)).alias(f"t_{c}") for c in texts))
+
+    def part(field: str, terms: Column, o: int, r: int) -> Column:
+        return F.struct(F.lit(field).alias("field_name"), terms.alias("terms"), F.lit(o).alias("o"), F.lit(r).alias("r"))
+
+    parts = [part(c, F.col(f"t_{c}"), 1, 0) for c in texts] + [part(c, F.array_distinct(f"t_{c}"), 0, 1) for c in texts]
+    parts += [part(c, F.when(F.col(f"v_{c}").isNotNull(), F.array(f"v_{c}")), 1, 1) for c in values]
+    parts += [part(TOTAL, F.when(F.col(f"v_{c}").isNotNull(), F.array(F.lit(c))), 1, 1) for c in texts + values]
+    each = found.select("s", F.inline(F.array(*parts))).select("s", "field_name", "o", "r", F.explode("terms").alias("term"))
     sums = each.groupBy("field_name", "term").agg(F.sum(F.col("s") * F.col("o")).alias("n_occurrences"), F.sum(F.col("s") * F.col("r")).alias("n_rows"))
     return sums.filter("n_occurrences <> 0 OR n_rows <> 0")
 
