@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinline.llm import form, terms
+from twinline.llm import copies, form, near, survivors, terms
 from twinline.session import new_path, table
 
 
@@ -36,6 +36,65 @@ def p3_terms(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, d)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copy_pairs(table(spark, d, "steps"), F.col("step_id"), F.col("text"))
+
+
+def p4_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return copies.phrases(table(spark, d, "steps"), F.col("step_id"), F.col("text"))
+
+
+PLACE = ["repo_slug", "file_path", "line"]
+FIELDS = ["scenario", "feature", "repo", "license_spdx", "commit_sha"]
+
+
+def _cluster_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame | None]:
+    """The steps rows of each cluster, and the order of values if any row has no time."""
+    steps = table(spark, d, "steps")
+    members = table(spark, d, "cluster_members_hybrid").select("cluster_id", *PLACE).distinct()
+    rows = steps.select("step_id", *PLACE, "text", *FIELDS, "mined_at").join(members, PLACE)
+    order = survivors.precedence(steps, PLACE, ["license_spdx", "commit_sha"], "mined_at") if survivors.untimed(steps, "mined_at") else None
+    return rows, order
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, order = _cluster_rows(spark, d)
+    best = survivors.survivors(rows, "cluster_id", "step_id", "text", FIELDS, "mined_at", order)
+    stored = table(spark, d, "clusters_hybrid").select("cluster_id", "canonical_text")
+    return stored.join(best, "cluster_id").filter(~F.col("canonical_text").eqNullSafe(F.col("best_text"))).select("cluster_id", "step_id")
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each cluster's survivor and best text, with every other field at its latest value."""
+    rows, order = _cluster_rows(spark, d)
+    best = survivors.survivors(rows, "cluster_id", "step_id", "text", FIELDS, "mined_at", order)
+    return best.join(survivors.latest_values(rows, "cluster_id", "step_id", FIELDS, "mined_at", order), "cluster_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    steps = table(spark, d, "steps").select("step_id", "text").filter(F.length("text") >= 100)
+    pairs = near.id_pairs(steps, F.col("step_id"), F.col("text")).select(F.lit("steps").alias("tbl"), "id_a", "id_b")
+    labelled = table(spark, d, "labeled_pairs_overlap").select("id", near.word_set(F.col("text_a")).alias("a"), near.word_set(F.col("text_b")).alias("b"))
+    reach = labelled.filter(near.similar(F.col("a"), F.col("b"))).select(F.lit("labeled_pairs_overlap").alias("tbl"), F.col("id").alias("id_a"), F.col("id").alias("id_b"))
+    return pairs.unionByName(reach)
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    steps = table(spark, d, "steps").select("step_id", "text").filter(F.length("text") >= 100)
+    return near.groups(steps, F.col("step_id"), F.col("text")).withColumnRenamed("id", "step_id")
+
+
+_P5 = """
+    WITH m AS (SELECT DISTINCT cluster_id, repo_slug, file_path, line FROM cluster_members_hybrid),
+    r AS (SELECT m.cluster_id, s.*, (CASE WHEN regexp_matches(scenario, '\\S') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(feature, '\\S') THEN 1 ELSE 0 END
+            + CASE WHEN regexp_matches(repo, '\\S') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(license_spdx, '\\S') THEN 1 ELSE 0 END
+            + CASE WHEN regexp_matches(commit_sha, '\\S') THEN 1 ELSE 0 END) AS filled
+          FROM m JOIN steps s USING (repo_slug, file_path, line) WHERE text IS NOT NULL),
+    t AS (SELECT cluster_id, text, count(*) AS n FROM r GROUP BY ALL),
+    b AS (SELECT cluster_id, text FROM t QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, length(text), encode(text)) = 1)
+    SELECT cluster_id, step_id, r.text AS best_text FROM r JOIN b USING (cluster_id, text)
+    QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY filled DESC, mined_at DESC NULLS LAST, step_id) = 1"""
+
 _P3 = """
     WITH t AS (SELECT 'text' AS field_name, step_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z0-9_]+')) AS term FROM steps
                UNION ALL SELECT 'repo', step_id, repo FROM steps WHERE repo IS NOT NULL),
@@ -43,5 +102,11 @@ _P3 = """
     c AS (SELECT field_name, term, count(*) AS n_occurrences, count(DISTINCT step_id) AS n_rows FROM t GROUP BY ALL)
     SELECT field_name, term, n_occurrences, n_rows, CASE WHEN n_rows < 3 THEN 'too_rare' WHEN n_rows * 10 > all_rows THEN 'too_common' END AS mark FROM c JOIN n USING (field_name)"""
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p2_groups": p2_groups, "p3_found": p3_found, "p3_terms": p3_terms}
-SQL = {"p3_terms": _P3, "p3_found": f"SELECT field_name, term, mark FROM ({_P3}) WHERE mark IS NOT NULL"}
+QUERIES = {
+    "p2_found": p2_found, "p2_forms": p2_forms, "p2_groups": p2_groups, "p3_found": p3_found, "p3_terms": p3_terms,
+    "p4_found": p4_found, "p4_phrases": p4_phrases, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_groups": p6_groups,
+}
+SQL = {
+    "p3_terms": _P3, "p3_found": f"SELECT field_name, term, mark FROM ({_P3}) WHERE mark IS NOT NULL",
+    "p5_found": f"SELECT cluster_id, step_id FROM ({_P5}) JOIN clusters_hybrid USING (cluster_id) WHERE canonical_text IS DISTINCT FROM best_text",
+}
