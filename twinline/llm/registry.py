@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinline.llm import copies, form, near, survivors, terms
-from twinline.session import new_path, table
+from twinline.llm import copies, encoding, form, language, near, packing, survivors, terms
+from twinline.session import cut, new_path, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,6 +84,37 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.groups(steps, F.col("step_id"), F.col("text")).withColumnRenamed("id", "step_id")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_column(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text doesn't come back from its ids; there are none."""
+    back = encoding.decode_column(p7_ids(spark, d), "doc_id", "ids").withColumnRenamed("text", "back")
+    return table(spark, d, "documents").select("doc_id", "text").join(back, "doc_id").filter(F.coalesce("text", F.lit("")) != F.col("back")).select("doc_id")
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    counted = cut(packing.sizes(table(spark, d, "documents"), "doc_id", "text"))  # three numbers a document
+    return packing.pack(counted, "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    used = p8_packing(spark, d).filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"))
+    return used.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"), F.max("k").alias("most_segments"), (F.sum("n") / (F.count("*") * packing.CAPACITY)).alias("fill"))
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    trees = language.fit(table(spark, d, "lang_samples"), "lang", "text", "sample_id")
+    return language.detect(table(spark, d, "documents"), "doc_id", "text", trees)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    trees = language.fit(table(spark, d, "lang_samples"), "lang", "text", "sample_id")
+    return language.mislabelled(table(spark, d, "documents"), "doc_id", "text", "lang", trees)
+
+
 _P5 = """
     WITH m AS (SELECT DISTINCT cluster_id, repo_slug, file_path, line FROM cluster_members_hybrid),
     r AS (SELECT m.cluster_id, s.*, (CASE WHEN regexp_matches(scenario, '\\S') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(feature, '\\S') THEN 1 ELSE 0 END
@@ -105,8 +136,10 @@ _P3 = """
 QUERIES = {
     "p2_found": p2_found, "p2_forms": p2_forms, "p2_groups": p2_groups, "p3_found": p3_found, "p3_terms": p3_terms,
     "p4_found": p4_found, "p4_phrases": p4_phrases, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_groups": p6_groups,
+    "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_languages": p9_languages,
 }
 SQL = {
+    "p7_decoded": "SELECT doc_id FROM documents WHERE false",
     "p3_terms": _P3, "p3_found": f"SELECT field_name, term, mark FROM ({_P3}) WHERE mark IS NOT NULL",
     "p5_found": f"SELECT cluster_id, step_id FROM ({_P5}) JOIN clusters_hybrid USING (cluster_id) WHERE canonical_text IS DISTINCT FROM best_text",
 }
