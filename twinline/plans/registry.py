@@ -1,6 +1,6 @@
 """All queries of the core and their SQL."""
 
-from twinline.plans import skew_queries
+from twinline.plans import queries, skew_queries
 
-QUERIES = {**skew_queries.QUERIES}
-SQL = {**skew_queries.SQL}
+QUERIES = {**queries.QUERIES, **skew_queries.QUERIES}
+SQL = {**queries.SQL, **skew_queries.SQL}
