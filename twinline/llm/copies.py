@@ -10,7 +10,8 @@ A spelling may also lack the commas between its fields. So each text has a secon
 digits as written, and phrases of which two spellings agree in that one are one phrase too, again after both
 spellings were compared.
 
-Null texts and texts without letters or digits have no phrase: they are left out of groups. Braces that don't
+Null texts and texts without letters or digits have no phrase: they are left out of groups, as are rows without
+an id. Braces that don't
 close are ordinary punctuation, and so are commas outside of braces; in nested braces the innermost pair counts.
 """
 
@@ -229,7 +230,7 @@ def spellings(df: DataFrame, id_: Column, text: Column) -> DataFrame:
     smallest id leads; the others are compared with it, and those that differ, should hashes ever collide, form
     groups by their phrase in full (extra).
     """
-    stored = df.select(id_.cast("long").alias("id"), text.alias("spelling")).filter("spelling IS NOT NULL")
+    stored = df.select(id_.cast("long").alias("id"), text.alias("spelling")).filter("spelling IS NOT NULL AND id IS NOT NULL")
     hashed = stored.select("id", *_print(F.col("spelling")), _hashed("spelling").alias("x")).filter("x.n > 0")
     narrow = cut(hashed.groupBy(F.col("x.h").alias("h"), F.col("x.w").alias("w"), "key", "key2").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     groups = narrow.groupBy("h").agg(F.min("id").alias("lead_id"), F.count("*").alias("k"))

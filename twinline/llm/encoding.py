@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed value: the pattern of the tokenizer's pre-tokenizer, as its publisher states it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -137,20 +138,7 @@ def encode_column(df: DataFrame, id_: str, text: str, folder: str = TOKENIZERS,
                 flat = np.fromiter((x for i in ids for x in i), np.int32, int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], [id_, "ids"])
 
-    return df.select(id_, text).mapInArrow(run, f"{id_} long, ids array<int>")
-
-
-def count_column(df: DataFrame, text: str, count: str, keep: list[str], folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
-    """The columns keep with the number of tokens of each text: only the numbers leave the workers."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + f", `{count}` int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, name)
-        for batch in batches:
-            sizes = [len(encode(enc, t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int32())], [*keep, count])
-
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(F.col(id_).cast("long"), text).mapInArrow(run, f"{id_} long, ids array<int>")
 
 
 def decode_column(df: DataFrame, id_: str, ids: str, folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
@@ -162,4 +150,4 @@ def decode_column(df: DataFrame, id_: str, ids: str, folder: str = TOKENIZERS, n
             texts = [decode(enc, i or []).decode(errors="replace") for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_, "text"])
 
-    return df.select(id_, ids).mapInArrow(run, f"{id_} long, text string")
+    return df.select(F.col(id_).cast("long"), ids).mapInArrow(run, f"{id_} long, text string")

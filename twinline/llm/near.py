@@ -8,7 +8,7 @@ signature are joined, and every candidate is verified by its exact similarity.
 With 56 bands of 7 coordinates a pair at the threshold of 0.8 is missed with probability 2e-6, and a pair at
 0.2 becomes a candidate with 7e-4. No bucket is capped.
 
-Null texts have no words. Texts without words are similar to equal texts only.
+Null texts have no words, and rows without an id no pairs. Texts without words are similar to equal texts only.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classes(df: DataFrame, id_: Column, text: Column) -> tuple[DataFrame, DataFrame]:
     """(id, class_id) of every text, and (class_id, words) of every class; a class is named by its smallest id."""
-    rows = df.select(id_.cast("long").alias("id"), word_set(text).alias("words")).filter("words IS NOT NULL")
+    rows = df.select(id_.cast("long").alias("id"), word_set(text).alias("words")).filter("words IS NOT NULL AND id IS NOT NULL")
     sets = cut(rows.groupBy("words").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).select("class_id", "words", "n"))
     several = sets.filter("n > 1").select("words", "class_id")
     members = rows.join(several, "words").select("id", "class_id").unionByName(sets.filter("n = 1").select(F.col("class_id").alias("id"), "class_id"))

@@ -81,11 +81,11 @@ class TermCounts:
 
     def update(self, added: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
         """Takes in added and deleted records; a changed one is given in both, in its new and its old version."""
-        signed = [x.select(*self.texts, *self.values, F.lit(s).cast("long").alias("s")) for x, s in ((added, 1), (deleted, -1)) if x is not None]
+        signed = [x.select(*self.texts, *self.values, F.lit(s).cast("long").alias("__sign")) for x, s in ((added, 1), (deleted, -1)) if x is not None]
         if not signed:
             return
         rows = signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
-        deltas = field_deltas(rows, self.texts, self.values, F.col("s"))
+        deltas = field_deltas(rows, self.texts, self.values, F.col("__sign"))
         bucket = F.pmod(F.xxhash64("field_name", "term"), F.lit(self.buckets)).cast("int")
         old = self._manifest()
         touched: set[int] = set()
