@@ -3,7 +3,7 @@
 A container is limited in three ways at once: tokens, number of segments, and loss-bearing tokens (those of a
 document after its first line, which serves as the prompt). Containers are filled one after the other. The next
 item is, of those that fit in all three, the one whose demand vector has the largest dot product with what is
-still free, both as shares of the capacity; ties go to the larger item, then the smaller id.
+still free, both as shares of the capacity; ties go to the larger item, then the first id (as a string).
 
 Items are dealt by the hash of their id to shards of about SHARD_ITEMS, each packed on its own in one task, so
 no task sees more than a bounded part of the corpus; the price is at most a few unfilled containers a shard.
@@ -27,6 +27,7 @@ CAPACITY = 2048
 MOST_SEGMENTS = 64
 MOST_LOSS = 2048
 SHARD_ITEMS = 4096
+MOST_TASKS = 20_000
 
 
 def sizes(df: DataFrame, id_: str, text: str, folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
@@ -40,7 +41,7 @@ def sizes(df: DataFrame, id_: str, text: str, folder: str = TOKENIZERS, name: st
             first = np.fromiter((len(encode(enc, (t or "").partition("\n")[0])) for t in texts), np.int32, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_), pa.array(np.minimum(first, all_))], [id_, "n_tokens", "n_prompt"])
 
-    return df.select(id_, text).mapInArrow(run, f"{id_} long, n_tokens int, n_prompt int")
+    return df.select(F.col(id_).cast("long"), text).mapInArrow(run, f"{id_} long, n_tokens int, n_prompt int")
 
 
 def fill(demand: np.ndarray, capacity: np.ndarray) -> np.ndarray:
@@ -70,7 +71,7 @@ def pack(items: DataFrame, id_: str, capacity: int = CAPACITY, segments: int = M
     pieces = items.select(id_, "n_tokens", "n_prompt", F.posexplode(F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0), F.col("n_tokens") - 1, F.lit(most))).otherwise(F.array(F.lit(0)))).alias("part_no", "start_token"))
     size = F.least(F.lit(most), F.col("n_tokens") - F.col("start_token"))
     pieces = pieces.withColumn("n", size).withColumn("n_loss", F.greatest(F.lit(0), F.col("n") - F.greatest(F.lit(0), F.col("n_prompt") - F.col("start_token"))))
-    pieces = pieces.select(F.col(id_).alias("id"), "part_no", "start_token", F.col("n").alias("n_tokens"), "n_loss")
+    pieces = pieces.select(F.col(id_).cast("string").alias("id"), "part_no", "start_token", F.col("n").alias("n_tokens"), "n_loss")
     shards = max(1, -(-items.count() // SHARD_ITEMS))
     bounds = np.array([capacity, segments, loss])
 
@@ -87,5 +88,6 @@ def pack(items: DataFrame, id_: str, capacity: int = CAPACITY, segments: int = M
         return pdf[["id", "part_no", "start_token", "n_tokens", "n_loss", "container_id", "slot"]]
 
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "part_no"), F.lit(shards)).cast("int"))
-    schema = "id long, part_no int, start_token int, n_tokens int, n_loss int, container_id long, slot long"
-    return dealt.groupBy("shard").applyInPandas(shard, schema).withColumnRenamed("id", id_)
+    schema = "id string, part_no int, start_token int, n_tokens int, n_loss int, container_id long, slot long"
+    dealt = dealt.repartition(min(shards, MOST_TASKS), "shard")  # a number given is not coalesced: packing costs CPU, not bytes
+    return dealt.groupBy("shard").applyInPandas(shard, schema).withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_)
