@@ -6,9 +6,10 @@ commas: each is hashed on its own, and the fields' hashes are appended in the or
 order they are written in plays no part. Hashes of parts are joined by H(xy) = H(x) * B^len(y) + H(y). Spellings
 with equal hashes are then compared with the first one, two pointers skipping what doesn't count.
 
-A spelling may also lack the commas between its fields. So each text has a second hash, of its letters and
-digits as written, and phrases of which two spellings agree in that one are one phrase too, again after both
-spellings were compared.
+A spelling may also lack the commas between its fields, or the braces. So each text has a second hash, the sum of
+what its letters and digits hash to, wherever they stand. Where it agrees for two phrases, one with fewer fields
+than the other, the latter's fields are laid against the former as written, in any order; if they match, the two
+are one phrase.
 
 Null texts and texts without letters or digits have no phrase: they are left out of groups, as are rows without
 an id. Braces that don't
@@ -82,11 +83,11 @@ def field_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
-def phrase_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text in consistent form: a 62-bit hash, the one as written, and its number of letters and digits."""
+def phrase_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text in consistent form: a 62-bit hash, the order-free sum, the number of fields, and of letters and digits."""
     n = len(texts)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     cuts = [field_spans(t) if "{" in t and "}" in t else None for t in texts]
     lengths = np.fromiter(map(len, texts), np.int64, n)
     starts = np.concatenate([[0], np.cumsum(lengths)])
@@ -107,13 +108,18 @@ def phrase_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     both = (hashes[0] << np.uint64(31)) | hashes[1]
     first = np.concatenate([[0], np.cumsum([1 if c is None else len(c) for c in cuts])])
     out, total = both[first[:-1]].astype(np.int64), size[first[:-1]].copy()
-    written = out.copy()
+    mixed = (values + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed ^ (mixed >> np.uint64(32)), dtype=np.uint64)])
+    whole = bounds[first[1:] - 1], np.concatenate([[0], bounds[first[1:-1] - 1]])  # kept characters before each text's end and start
+    loose = (running[whole[0]] - running[whole[1]]).view(np.int64)
+    fields = np.zeros(n, np.int64)
     for i, c in enumerate(cuts):
         if c is not None:
             parts = [(g, int(h), int(s)) for (_, _, g), h, s in zip(c, both[first[i] : first[i + 1]], size[first[i] : first[i + 1]], strict=True)]
-            written[i], total[i] = _joined([(h, s) for _, h, s in parts])
-            out[i], _ = _joined(_sorted_fields(parts))
-    return out, written, total
+            out[i], total[i] = _joined(_sorted_fields(parts))
+            fields[i] = sum(1 for g, _, s in parts if g and s)
+    return out, loose, fields, total
 
 
 def _sorted_fields(parts: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -162,7 +168,7 @@ def same_phrase(x: str, y: str) -> bool:
 
     def symbols(t: str) -> Iterator[int]:
         spans = field_spans(t)
-        hashes, _, _ = phrase_hashes([t[a:b].replace("{", " ").replace("}", " ") for a, b, _ in spans])
+        hashes, *_ = phrase_hashes([t[a:b].replace("{", " ").replace("}", " ") for a, b, _ in spans])
         i = 0
         while i < len(spans):
             j = i + 1
@@ -178,16 +184,16 @@ def same_phrase(x: str, y: str) -> bool:
     return all(p == q for p, q in zip(symbols(x), symbols(y), strict=False))
 
 
-_HASH = T.StructType([T.StructField(c, T.LongType()) for c in ("h", "w", "n")])
+_HASH = T.StructType([T.StructField(c, T.LongType()) for c in ("h", "u", "fields", "n")])
 
 
 @F.pandas_udf(_HASH)
 def _hashed(text: pd.Series) -> pd.DataFrame:
     given = text.notna().to_numpy()
     forms = [t if t.isascii() else consistent(t) for t in text[given]]
-    h, w, n = np.zeros((3, len(text)), np.int64)
-    h[given], w[given], n[given] = phrase_hashes(forms)
-    return pd.DataFrame({"h": h, "w": w, "n": n})
+    out = np.zeros((4, len(text)), np.int64)
+    out[:, given] = phrase_hashes(forms)
+    return pd.DataFrame(dict(zip(("h", "u", "fields", "n"), out, strict=True)))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -195,9 +201,38 @@ def _verified(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([same_phrase(consistent(a), consistent(b)) for a, b in zip(x, y, strict=True)], dtype=bool)
 
 
+def fields_match(x: str, y: str) -> bool:
+    """Whether y, read as written, is x with the fields of each pair of braces in some order."""
+    fold = fold_table()
+    want = [int(fold[ord(c)]) for c in y if fold[ord(c)]]
+    groups: list[tuple[int, list[list[int]]]] = []
+    for a, b, g in field_spans(x):
+        part = [int(fold[ord(c)]) for c in x[a:b] if fold[ord(c)]]
+        if part:
+            if groups and g and groups[-1][0] == g:
+                groups[-1][1].append(part)
+            else:
+                groups.append((g, [part]))
+    # Places in y that the parts so far can reach, with the fields of the open group that are left.
+    reached = {0}
+    for _, parts in groups:
+        todo, seen, out = [(at, tuple(range(len(parts)))) for at in reached], set(), set()
+        while todo:
+            at, left = todo.pop()
+            if not left:
+                out.add(at)
+            for k in left:
+                state = at + len(parts[k]), tuple(i for i in left if i != k)
+                if state not in seen and want[at : state[0]] == parts[k]:
+                    seen.add(state)
+                    todo.append(state)
+        reached = out
+    return len(want) in reached
+
+
 @F.pandas_udf(T.BooleanType())
-def _written_alike(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([_same(a, b, 0, len(a), 0, len(b)) for a, b in ((consistent(a), consistent(b)) for a, b in zip(x, y, strict=True))], dtype=bool)
+def _fields_match(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([fields_match(consistent(a), consistent(b)) for a, b in zip(x, y, strict=True)], dtype=bool)
 
 
 @F.pandas_udf(T.StringType())
@@ -232,7 +267,7 @@ def spellings(df: DataFrame, id_: Column, text: Column) -> DataFrame:
     """
     stored = df.select(id_.cast("long").alias("id"), text.alias("spelling")).filter("spelling IS NOT NULL AND id IS NOT NULL")
     hashed = stored.select("id", *_print(F.col("spelling")), _hashed("spelling").alias("x")).filter("x.n > 0")
-    narrow = cut(hashed.groupBy(F.col("x.h").alias("h"), F.col("x.w").alias("w"), "key", "key2").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    narrow = cut(hashed.groupBy(F.col("x.h").alias("h"), F.col("x.u").alias("u"), F.col("x.fields").alias("fields"), "key", "key2").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     groups = narrow.groupBy("h").agg(F.min("id").alias("lead_id"), F.count("*").alias("k"))
     led = narrow.join(groups, "h")
     several = led.filter("k > 1").join(stored, "id")
@@ -248,14 +283,14 @@ def spellings(df: DataFrame, id_: Column, text: Column) -> DataFrame:
 
 
 def _merged(narrow: DataFrame, stored: DataFrame) -> DataFrame:
-    """(h, whole): phrases with several hashes, as some spelling has no commas between its fields."""
-    fielded = narrow.filter("h <> w").select("w").distinct()
-    ways = narrow.join(fielded, "w", "left_semi").groupBy("w", "h").agg(F.min("id").alias("id"))
-    least = ways.groupBy("w").agg(F.min_by(F.struct("h", "id"), "h").alias("x"), F.count("*").alias("k")).filter("k > 1").select("w", F.col("x.h").alias("h2"), F.col("x.id").alias("id2"))
-    links = ways.join(least, "w").filter("h <> h2").select("h", "h2", "id", "id2")
+    """(h, whole): phrases with several hashes, as some spelling doesn't part its fields."""
+    fielded = narrow.filter("fields > 1").select("u").distinct()
+    ways = narrow.join(fielded, "u", "left_semi").groupBy("u", "h", "fields").agg(F.min("id").alias("id"))
+    fewer = ways.select("u", F.col("h").alias("h2"), F.col("fields").alias("fields2"), F.col("id").alias("id2"))
+    links = ways.join(fewer, "u").filter("h <> h2 AND fields > 1 AND fields2 < fields").select("h", "h2", "id", "id2")
     one = stored.select("id", F.col("spelling").alias("s1"))
     two = stored.select(F.col("id").alias("id2"), F.col("spelling").alias("s2"))
-    sure = links.join(one, "id").join(two, "id2").filter(_written_alike("s1", "s2")).select("h", "h2")
+    sure = links.join(one, "id").join(two, "id2").filter(_fields_match("s1", "s2")).select("h", "h2")
     return connected_components(sure, "h", "h2").select(F.col("node").alias("h"), F.col("component").alias("whole"))
 
 
