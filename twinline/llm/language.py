@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 5
-CHANGE_BITS = 24.0
+CHANGE_BITS = 64.0
 BITS_SCALE = 8.0
 #: Bound on the labelled sentences that the trees are grown from; the first by id are taken.
 MOST_SAMPLES = 20_000
