@@ -130,6 +130,20 @@ _P5 = """
     SELECT cluster_id, step_id, r.text AS best_text FROM r JOIN b USING (cluster_id, text)
     QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY filled DESC, mined_at DESC NULLS LAST, step_id) = 1"""
 
+_LATEST = ", ".join(f"arg_max({f}, (mined_at, -step_id)) FILTER (regexp_matches({f}, '\\S')) AS {f}" for f in FIELDS)
+_P5_RECORDS = f"""
+    WITH m AS (SELECT DISTINCT cluster_id, repo_slug, file_path, line FROM cluster_members_hybrid),
+    v AS (SELECT m.cluster_id, {_LATEST} FROM m JOIN steps s USING (repo_slug, file_path, line) GROUP BY 1)
+    SELECT b.cluster_id, b.step_id, b.best_text, v.* EXCLUDE (cluster_id) FROM ({_P5}) b JOIN v USING (cluster_id)"""
+
+_SETS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{Nd}}]+'))"
+_REACH = "len({0}) + len({1}) > 0 AND len(list_intersect({0}, {1})) * 9 >= (len({0}) + len({1})) * 4"
+_P6 = f"""
+    WITH w AS (SELECT step_id, {_SETS.format("text")} AS s FROM steps WHERE length(text) >= 100)
+    SELECT 'steps' AS tbl, a.step_id AS id_a, b.step_id AS id_b FROM w a JOIN w b ON a.step_id < b.step_id
+    WHERE len(a.s) * 5 >= len(b.s) * 4 AND len(b.s) * 5 >= len(a.s) * 4 AND {_REACH.format("a.s", "b.s")}
+    UNION ALL SELECT 'labeled_pairs_overlap', id, id FROM (SELECT id, {_SETS.format("text_a")} AS x, {_SETS.format("text_b")} AS y FROM labeled_pairs_overlap) WHERE {_REACH.format("x", "y")}"""
+
 _P3 = """
     WITH t AS (SELECT 'text' AS field_name, step_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z0-9_]+')) AS term FROM steps
                UNION ALL SELECT 'repo', step_id, repo FROM steps WHERE repo IS NOT NULL),
@@ -146,4 +160,5 @@ SQL = {
     "p7_decoded": "SELECT doc_id FROM documents WHERE false",
     "p3_terms": _P3, "p3_found": f"SELECT field_name, term, mark FROM ({_P3}) WHERE mark IS NOT NULL",
     "p5_found": f"SELECT cluster_id, step_id FROM ({_P5}) JOIN clusters_hybrid USING (cluster_id) WHERE canonical_text IS DISTINCT FROM best_text",
+    "p5_records": _P5_RECORDS, "p6_found": _P6,
 }
