@@ -107,7 +107,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, hot: DataFrame, sprea
     it is broadcast. Rows of big with such a key are spread over SALTS tasks by ``spread``, and small's row of
     that key is repeated as often; all others are joined as usual.
     """
-    flag = F.broadcast(hot.select(F.col(on).alias("hot_key")).distinct().limit(int(1 / HOT_SHARE) + 1))
+    flag = F.broadcast(hot.select(F.col(on).alias("hot_key")).distinct())
     left = big.join(flag, F.col(on) == F.col("hot_key"), "left").withColumn(
         "salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
     ).drop("hot_key")
