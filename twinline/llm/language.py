@@ -275,4 +275,4 @@ def _has_letters(text: str, least: int) -> bool:
 
 def named(lang: Column) -> Column:
     """The language that a stored label names: without blanks, region and case."""
-    return F.lower(F.split(F.trim(lang), "[-_]")[0])
+    return F.lower(F.split(F.regexp_replace(lang, r"^\s+|\s+$", ""), "[-_]")[0])
