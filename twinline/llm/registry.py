@@ -54,7 +54,7 @@ CHANGING = ["license_spdx", "commit_sha"]
 def _cluster_rows(spark: SparkSession, d: str, fields: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """The steps rows of each cluster with their completeness and some fields, and the order of values if any row has no time."""
     steps = table(spark, d, "steps")
-    order = survivors.precedence(steps, PLACE, CHANGING, "mined_at") if survivors.untimed(steps, "mined_at") else None
+    order = survivors.closed(survivors.precedence(steps, PLACE, CHANGING, "mined_at")) if survivors.untimed(steps, "mined_at") else None
     kept = fields if order is None else sorted({*fields, *CHANGING})
     members = table(spark, d, "cluster_members_hybrid").select("cluster_id", *PLACE).distinct()
     rows = steps.select("step_id", *PLACE, "text", *kept, "mined_at", survivors.completeness(FIELDS).alias("full")).join(members, PLACE)
