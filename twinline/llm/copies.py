@@ -14,6 +14,7 @@ are one phrase.
 Null texts and texts without letters or digits have no phrase: they are left out of groups, as are rows without
 an id. Braces that don't
 close are ordinary punctuation, and so are commas outside of braces; in nested braces the innermost pair counts.
+Rows that repeat id and text are copies of themselves only; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations

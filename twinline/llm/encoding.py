@@ -13,7 +13,8 @@ Nothing in the pattern looks back, and the only look-ahead, after white space, e
 isn't. A run without such a place is encoded again as a whole, so the ids are always those of the whole text.
 Decoding concatenates the bytes of the tokens up the tree.
 
-An empty text and a null text have the empty list of ids. Special tokens' strings are ordinary text.
+An empty text and a null text have the empty list of ids. Special tokens' strings are ordinary text. Each row gives
+one row, also if its id is null or repeated; an empty table gives none; other columns play no part.
 """
 
 from __future__ import annotations

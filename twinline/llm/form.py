@@ -8,7 +8,8 @@ replaced only where a word mixes scripts, towards the script of that word, and r
 form. Both have the same skeleton.
 
 Null has neither form nor skeleton; an empty or blank text keeps its spaces and line breaks. Texts are treated
-whole, however long.
+whole, however long. Repeated rows are treated alike, each on its own; an empty table gives no rows; a column named
+as the form is replaced, all others are kept.
 """
 
 from __future__ import annotations

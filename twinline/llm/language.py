@@ -15,7 +15,8 @@ quoted text, and words with digits or signs. Blocks are parted by empty lines. W
 language costs CHANGE_BITS, so that a short block takes its neighbours' language unless it says otherwise; the
 cheapest sequence is found exactly. Blocks without language break no run.
 
-Null, empty and blank texts and those without any natural language have no rows; nor has any text without samples. The confidence of a language is
+Null, empty and blank texts and those without any natural language have no rows; nor has any text without samples.
+Repeated and null ids are treated like any others, and other columns play no part. The confidence of a language is
 its share of the likelihood, with bits scaled down by BITS_SCALE, as bytes are far from independent.
 """
 

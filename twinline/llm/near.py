@@ -9,6 +9,7 @@ With 56 bands of 7 coordinates a pair at the threshold of 0.8 is missed with pro
 0.2 becomes a candidate with 7e-4. No bucket is capped.
 
 Null texts have no words, and rows without an id no pairs. Texts without words are similar to equal texts only.
+Texts are taken whole, ties at the threshold are pairs, an empty table gives no rows, other columns play no part.
 """
 
 from __future__ import annotations

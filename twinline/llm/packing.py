@@ -8,7 +8,8 @@ still free, both as shares of the capacity; ties go to the larger item, then the
 Items are dealt by the hash of their id to shards of about SHARD_ITEMS, each packed on its own in one task, so
 no task sees more than a bounded part of the corpus; the price is at most a few unfilled containers a shard.
 Only an item longer than the capacity is split, into full pieces and a rest. Items without tokens take no room:
-they are given with a null container. Items of equal id are packed like any others.
+they are given with a null container. Items of equal or null id are packed like any others, an empty table gives no
+rows, and other columns play no part.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ The counts live in a table partitioned by field and hash bucket of the term. An
 records: every version of a record that goes counts -1, every one that comes +1. The deltas are added up per
 term, joined into the buckets they fall in, and only those buckets are written anew; a small manifest names
 the directory of each bucket, so a reader sees either the old or the new state. Null values are no records of
-their field; a text without terms is one.
+their field; a text without terms is one. Repeated rows count as often as they occur, other columns play no part,
+and an empty table changes nothing.
 """
 
 from __future__ import annotations
