@@ -154,3 +154,19 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("exact_counts").collect()] == [("a b", 2)]
+
+
+def test_windows_close_once_the_watermark_passed(spark, tmp_path):
+    from datetime import datetime
+
+    from twinline.streaming.counts import windowed_counts
+
+    folder = str(tmp_path / "in")
+    schema = "text string, at timestamp"
+    q = windowed_counts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*")), "at", "1 day", "1 day")
+    for i, data in enumerate([[("a  b", datetime(2030, 1, 1, 5)), ("a b", datetime(2030, 1, 1, 6)), (" ", datetime(2030, 1, 1, 6))], [("c", datetime(2030, 1, 5))]]):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{folder}{i}")
+    run = q.writeStream.outputMode("append").format("memory").queryName("windowed").start()
+    run.processAllAvailable()
+    run.stop()
+    assert [(r.start, r.canonical_text, r["count"]) for r in spark.table("windowed").collect()] == [(datetime(2030, 1, 1), "a b", 2)]
