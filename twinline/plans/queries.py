@@ -392,23 +392,11 @@ def x13_tfidf_cosine(spark, d):
     return stats.tfidf_cosine(table(spark, d, "labeled_pairs_overlap"), "id", "text_a", "text_b")
 
 
-@query()
-def x14_canonical_tokens(spark, d):
-    return table(spark, d, "labeled_pairs_overlap").select("id", rules.canonical_tokens(F.col("text_a")).alias("tokens"))
-
-
 @query("SELECT id, " + "coalesce(" + ", ".join(f"CASE WHEN text_a LIKE '%\"{v}\"%' OR ' ' || {_strip('text_a')} || ' ' LIKE '% {v} %' THEN '{v}' END" for v in rules.VERBS) + ") AS verb FROM labeled_pairs_overlap")
 def x15_http_verb(spark, d):
     return table(spark, d, "labeled_pairs_overlap").select("id", rules.http_verb(F.col("text_a")).alias("verb"))
 
 
-@query()
-def x16_x18_cues(spark, d):
-    a, b = F.col("text_a"), F.col("text_b")
-    cues = {"call": rules.call_against_callonce, "def_set": rules.def_against_set, "polarity": rules.polarity_flip, "presence": rules.presence_against_content, "action": rules.action_against_assertion}
-    return table(spark, d, "labeled_pairs_overlap").select("id", *(f(a, b).alias(n) for n, f in cues.items()))
-
-
 @query("SELECT full_name, CASE WHEN license_spdx IS NULL OR trim(license_spdx) = '' THEN 'unlicensed' WHEN license_spdx IN (" + ", ".join(f"'{x}'" for x in text.PERMISSIVE) + ") THEN 'permissive' WHEN license_spdx IN (" + ", ".join(f"'{x}'" for x in text.COPYLEFT) + ") THEN 'copyleft' ELSE 'unknown' END AS class FROM repos")
 def x19_license_class(spark, d):
     return table(spark, d, "repos").select("full_name", text.license_class_of(F.col("license_spdx")).alias("class"))
@@ -430,16 +418,106 @@ def x23_day(spark, d):
     return table(spark, d, "repos").select("full_name", text.day_of(F.col("last_pushed")).alias("day"))
 
 
+NEGATING = ("not", "should", "shouldn't")
+
+
+def _in(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _verb_sql(c: str, strip: bool = True) -> str:
+    padded = f"' ' || {_strip(c) if strip else c} || ' '"
+    return "coalesce(" + ", ".join(f"CASE WHEN contains({c}, '\"{v}\"') OR contains({padded}, ' {v} ') THEN '{v}' END" for v in rules.VERBS) + ")"
+
+
+def _some(test: str, x: str, words) -> str:
+    return "(" + " OR ".join(f"{test}({x}, '{w}')" for w in words) + ")"
+
+
+def _both(f, a: str, b: str) -> str:
+    return f"({f(a, b)} OR {f(b, a)})"
+
+
+def _lower_tokens(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '{W}'), lambda w: w <> ''))"
+
+
+def _only(a: str, b: str, words) -> str:
+    x, y = _lower_tokens(a), _lower_tokens(b)
+    return f"len(list_filter(list_concat(list_filter({x}, lambda w: NOT list_contains({y}, w)), list_filter({y}, lambda w: NOT list_contains({x}, w))), lambda w: w NOT IN ({_in(words)}))) = 0"
+
+
+def _cues_sql(a: str = "text_a", b: str = "text_b") -> dict[str, str]:
+    def word(x: str, w: str) -> str:
+        return f"regexp_matches({x}, '(^|\\W){w}(\\W|$)')"
+
+    def no(x: str, w: str) -> str:
+        return f"regexp_matches({x}, '{'\\bcan not\\b|\\bcannot\\b' if w == 'can' else rf'\b{w} not\b'}')"
+
+    la, lb, content = f"lower({a})", f"lower({b})", (*rules.CONTENT, "== ")
+    act = lambda x: f"{_some('starts_with', x, rules.ACTION_STARTS)} AND NOT {_some('starts_with', x, rules.ASSERTION_STARTS)}"
+    flips = lambda x, y: " OR ".join(f"({no(x, w)} AND regexp_matches({y}, '\\b{w}\\b') AND NOT {no(y, w)})" for w in rules.NEGATED)
+    return {
+        "call": _both(lambda x, y: f"({word(x, 'call')} AND NOT {word(x, 'callonce')} AND {word(y, 'callonce')})", a, b),
+        "def_set": _both(lambda x, y: f"(starts_with({_strip(x)}, 'def ') AND starts_with({_strip(y)}, 'set '))", a, b),
+        "polarity": f"({_both(flips, a, b)} OR {_only(a, b, NEGATING)})",
+        "presence": _both(lambda x, y: f"({_some('contains', x, rules.EXISTENCE)} AND {_some('contains', y, content)} AND NOT {_some('contains', x, content)})", la, lb),
+        "action": _both(lambda x, y: f"({act(x)} AND contains({y}, 'should') AND NOT contains({x}, 'should'))", _strip(la), _strip(lb)),
+    }
+
+
+_CUES = ", ".join(f"{v} AS {k}" for k, v in _cues_sql().items())
+_RUBRIC = f"""WITH c AS (SELECT id, cos, lev, {_CUES}, {_verb_sql('text_a')} AS va, {_verb_sql('text_b')} AS vb, least(length(text_a), length(text_b)) / greatest(length(text_a), length(text_b), 1) AS size FROM labeled_pairs_overlap),
+    r AS (SELECT id, CASE WHEN call THEN 'R4_call_vs_callonce' WHEN def_set THEN 'R4_def_vs_set' WHEN va <> vb THEN 'R5_different_http_verbs' WHEN polarity THEN 'R6_polarity_flip' WHEN presence THEN 'R7_presence_vs_content' WHEN action THEN 'R8_action_vs_assertion'
+      WHEN cos >= 0.92 AND lev >= 0.80 THEN 'R1_parametric_high_cos_high_lev' WHEN cos >= 0.88 AND lev >= 0.70 AND size >= 0.75 THEN 'R1_parametric_high_cos_mid_lev' WHEN cos >= 0.85 AND lev >= 0.85 THEN 'R1_parametric_mid_cos_high_lev'
+      WHEN cos >= 0.82 AND lev >= 0.65 AND size >= 0.80 THEN 'R2_paraphrase_similar_length' ELSE 'R10_default_not_duplicate' END AS rule FROM c)
+    SELECT id, CASE WHEN rule LIKE 'R1\\_%' ESCAPE '\\' OR rule LIKE 'R2%' THEN 1 ELSE 0 END AS label, rule FROM r"""
+
+
+def _canon_sql(c: str) -> str:
+    cases = " ".join(f"WHEN w IN ({_in(f)}) THEN '{min(f)}'" for f in rules.SYNONYMS)
+    return f"list_transform(list_filter(string_split({_BARE.format(c)}, ' '), lambda w: w <> ''), lambda w: CASE {cases} ELSE w END)"
+
+
+def _score_free_sql() -> str:
+    la, lb = "lower(text_a)", "lower(text_b)"
+    cues = _cues_sql(la, lb)
+    deny = lambda x: f"(list_contains({_lower_tokens(x)}, 'not') OR list_contains({_lower_tokens(x)}, 'n''t'))"
+    says = lambda x: f"(starts_with({x}, 'should ') OR contains({x}, ' should ') OR starts_with({x}, 'the '))"
+    exist = _both(lambda x, y: f"({_some('contains', x, rules.EXISTENCE)} AND {_some('contains', y, rules.CONTENT)})", la, lb)
+    act = _both(lambda x, y: f"({_some('starts_with', x, rules.ACTION_STARTS)} AND {says(y)} AND NOT {says(x)})", la, lb)
+    return f"""WITH t AS (SELECT *, {_canon_sql('text_a')} AS ca, {_canon_sql('text_b')} AS cb FROM labeled_pairs_overlap),
+    s AS (SELECT *, list_distinct(ca) AS sa, list_distinct(cb) AS sb, array_to_string(ca, ' ') AS ja, array_to_string(cb, ' ') AS jb FROM t),
+    r AS (SELECT id, CASE WHEN {cues['call']} OR {_cues_sql()['def_set']} THEN 'R4_sf' WHEN {_verb_sql('text_a', False)} <> {_verb_sql('text_b', False)} THEN 'R5_sf'
+      WHEN {deny('text_a')} <> {deny('text_b')} AND {_only('text_a', 'text_b', ('not', "n't", 'should', "shouldn't"))} THEN 'R6_sf' WHEN {exist} THEN 'R7_sf' WHEN {act} THEN 'R8_sf'
+      WHEN ca = cb THEN 'P1_sf_exact_after_normalisation' WHEN list_sort(ca) = list_sort(cb) AND len(ca) >= 3 THEN 'P2_sf_token_multiset'
+      WHEN least(len(ca), len(cb)) >= 3 AND (CASE WHEN len(ca) <= len(cb) THEN contains(jb, ja) ELSE contains(ja, jb) END) AND least(len(ca), len(cb)) / greatest(len(ca), len(cb)) >= 0.7 THEN 'P3_sf_subsequence'
+      WHEN len(sa) > 0 AND len(sb) > 0 AND len(list_intersect(sa, sb)) / len(list_distinct(list_concat(sa, sb))) >= 0.8 THEN 'P4_sf_token_jaccard' ELSE 'R10_sf_default' END AS rule FROM s)
+    SELECT id, CASE WHEN rule LIKE 'P%' THEN 1 ELSE 0 END AS label, rule FROM r"""
+
+
 def _labelled(spark, d) -> DataFrame:
     return table(spark, d, "labeled_pairs_overlap")
 
 
-@query()
+@query(f"SELECT id, {_canon_sql('text_a')} AS tokens FROM labeled_pairs_overlap")
+def x14_canonical_tokens(spark, d):
+    return table(spark, d, "labeled_pairs_overlap").select("id", rules.canonical_tokens(F.col("text_a")).alias("tokens"))
+
+
+@query(f"SELECT id, {_CUES} FROM labeled_pairs_overlap")
+def x16_x18_cues(spark, d):
+    a, b = F.col("text_a"), F.col("text_b")
+    cues = {"call": rules.call_against_callonce, "def_set": rules.def_against_set, "polarity": rules.polarity_flip, "presence": rules.presence_against_content, "action": rules.action_against_assertion}
+    return table(spark, d, "labeled_pairs_overlap").select("id", *(f(a, b).alias(n) for n, f in cues.items()))
+
+
+@query(_RUBRIC)
 def s1_rubric_label(spark, d):
     return _labelled(spark, d).select("id", rules.rubric_label(*(F.col(c) for c in ("text_a", "text_b", "cos", "lev"))).alias("x")).select("id", "x.*")
 
 
-@query()
+@query(_score_free_sql())
 def s2_score_free_label(spark, d):
     return _labelled(spark, d).select("id", rules.score_free_label(F.col("text_a"), F.col("text_b")).alias("x")).select("id", "x.*")
 
