@@ -271,26 +271,34 @@ def spellings(df: DataFrame, id_: Column, text: Column) -> DataFrame:
     narrow = cut(hashed.groupBy(F.col("x.h").alias("h"), F.col("x.u").alias("u"), F.col("x.fields").alias("fields"), "key", "key2").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     groups = narrow.groupBy("h").agg(F.min("id").alias("lead_id"), F.count("*").alias("k"))
     led = narrow.join(groups, "h")
-    several = led.filter("k > 1").join(stored, "id")
+    links = cut(_links(narrow))
+    # One pass over the texts fetches all that have to be compared.
+    needed = led.filter("k > 1").select("id").unionByName(links.select("id")).unionByName(links.select(F.col("id2").alias("id"))).distinct()
+    texts = cut(stored.join(needed, "id", "left_semi"))
+    several = led.filter("k > 1").join(texts, "id")
     leads = several.filter("id = lead_id").select("h", F.col("spelling").alias("lead"))
     checked = cut(several.join(leads, "h").withColumn("same", _verified("spelling", "lead")).select(
         "h", F.when(F.col("same"), "").otherwise(_laid_out(F.when(~F.col("same"), F.col("spelling")))).alias("extra"), "key", "key2", "id", "n"
     ))
     single = led.filter("k = 1").select("h", F.lit("").alias("extra"), "key", "key2", "id", "n")
-    merged = _merged(narrow, stored)
+    merged = _merged(links, texts)
     parts = checked.unionByName(single).join(merged, "h", "left").withColumn("h", F.coalesce("whole", "h")).drop("whole")
     heads = parts.groupBy("h", "extra").agg(F.min("id").alias("first_id"), F.count("*").alias("n_spellings"), F.sum("n").alias("n_copies"))
     return parts.join(heads, ["h", "extra"])
 
 
-def _merged(narrow: DataFrame, stored: DataFrame) -> DataFrame:
-    """(h, whole): phrases with several hashes, as some spelling doesn't part its fields."""
+def _links(narrow: DataFrame) -> DataFrame:
+    """(h, h2, id, id2): pairs of phrases with the same characters of which the second has fewer fields, and a spelling of each."""
     fielded = narrow.filter("fields > 1").select("u").distinct()
     ways = narrow.join(fielded, "u", "left_semi").groupBy("u", "h", "fields").agg(F.min("id").alias("id"))
     fewer = ways.select("u", F.col("h").alias("h2"), F.col("fields").alias("fields2"), F.col("id").alias("id2"))
-    links = ways.join(fewer, "u").filter("h <> h2 AND fields > 1 AND fields2 < fields").select("h", "h2", "id", "id2")
-    one = stored.select("id", F.col("spelling").alias("s1"))
-    two = stored.select(F.col("id").alias("id2"), F.col("spelling").alias("s2"))
+    return ways.join(fewer, "u").filter("h <> h2 AND fields > 1 AND fields2 < fields").select("h", "h2", "id", "id2")
+
+
+def _merged(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, whole): phrases with several hashes, as some spelling doesn't part its fields."""
+    one = texts.select("id", F.col("spelling").alias("s1"))
+    two = texts.select(F.col("id").alias("id2"), F.col("spelling").alias("s2"))
     sure = links.join(one, "id").join(two, "id2").filter(_fields_match("s1", "s2")).select("h", "h2")
     return connected_components(sure, "h", "h2").select(F.col("node").alias("h"), F.col("component").alias("whole"))
 
