@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,29 @@ def test_html_is_escaped(spark, rows, tmp_path):
     assert "<script>" not in page and "&lt;script&gt;" in page and 'class="ol"' in page
 
 
+def test_json_holds_all_clusters_and_members(spark, tmp_path):
+    from twinline.sinks import reports
+
+    c = spark.range(600).selectExpr("'text\u2028 ' || id AS canonical_text", "'exact' AS strategy", "IF(id = 7, 120L, 2L) AS count", "1L AS occurrence_files")
+    m = c.selectExpr("canonical_text", "explode(sequence(1, int(count))) AS line", "'Given' AS keyword", "canonical_text AS text", "'f' AS file_path", "array('@a') AS tags")
+    extra = c.limit(1).selectExpr("'none' AS canonical_text", "strategy", "1L AS count", "0L AS occurrence_files")
+    head = {"root_path": "é", "strategy": "exact", "exact_duplication_rate": 0.123456, "n_duplicate_clusters": 601}
+    reports.write_json(head, c.union(extra), m, str(tmp_path / "new/x.json"))
+    raw = (tmp_path / "new/x.json").read_text(encoding="utf-8")
+    data = json.loads(raw)
+    assert raw == json.dumps(data, indent=2, ensure_ascii=False) and os.listdir(tmp_path / "new") == ["x.json"]
+    assert data["root_path"] == "é" and data["summary"] == {"n_duplicate_clusters": 601, "exact_duplication_rate": 0.1235}
+    got = data["clusters"]
+    assert [x["count"] for x in got] == [120] + [2] * 599 + [1] and got[-1]["members"] == []
+    assert [x["line"] for x in got[0]["members"]] == list(range(1, 121))
+    assert all(len(x["members"]) == x["count"] and {y["text"] for y in x["members"]} == {x["canonical_text"]} for x in got[:-1])
+    reports.write_json(head, c.limit(0), m, str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text())["clusters"] == []
+    reports.write_html(head, c, m, str(tmp_path / "x.html"))
+    page = (tmp_path / "x.html").read_text()
+    assert page.count("<details>") == 500 and page.count("<tr") == 120 + 499 * 2 and "500 largest of 600" in page
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "repos.csv").write_text("full_name,clone_url,default_branch,stargazers_count,last_pushed,license_spdx,license_class,language,archived\na/b,u,main,1,2020,MIT,permissive,C,false\na/b,u,main,2,2021,MIT,permissive,C,false\n")
     assert [(r.repo_slug, r.stargazers_count) for r in files.read_repos(spark, str(tmp_path / "repos.csv")).collect()] == [("a_b", 2)]
