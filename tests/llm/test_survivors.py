@@ -49,6 +49,28 @@ def test_order_is_closed_over_other_values(rows):
     assert s.closed(order.limit(0)).count() == 0
 
 
+def test_order_is_closed_over_long_chains_and_cycles(rows):
+    chain = [("sha", f"v{i:02}", f"v{i + 1:02}") for i in range(20)]
+    cycle = [("lic", f"c{i:02}", f"c{(i + 1) % 11:02}") for i in range(11)]
+    order = s.closed(rows(chain + cycle, "field string, older string, newer string"))
+    assert {tuple(r) for r in order.collect()} == {("sha", f"v{i:02}", f"v{j:02}") for i in range(21) for j in range(i + 1, 21)}
+    data = [(1, 1, "t", "a", "v00", None, "q"), (1, 2, "t", "a", "v20", None, "q")]
+    assert best(frame(rows, data), order) == {1: (2, "t")}
+
+
+def test_queries_place_untimed_rows_by_all_fields(spark, tmp_path):
+    from twinline.llm import registry
+
+    schema = "step_id long, repo_slug string, file_path string, line int, text string, scenario string, feature string, repo string, license_spdx string, commit_sha string, mined_at timestamp"
+    timed = [(10 + i, "r", "f", 1, "x", f"s{i:02}", "u", f"o{i:02}", "MIT", f"v{i:02}", at(1 + i)) for i in range(12)]
+    untimed = [(i, "r", "f", 2, "t", f"s{x:02}", "u", f"o{x:02}", "MIT", "v00", None) for i, x in ((1, 0), (2, 11), (3, 0))]
+    spark.createDataFrame(timed + untimed, schema).write.parquet(str(tmp_path / "steps.parquet"))
+    spark.createDataFrame([(1, "r", "f", 2)], "cluster_id long, repo_slug string, file_path string, line int").write.parquet(str(tmp_path / "cluster_members_hybrid.parquet"))
+    spark.createDataFrame([(1, None)], "cluster_id long, canonical_text string").write.parquet(str(tmp_path / "clusters_hybrid.parquet"))
+    assert [tuple(r) for r in registry.p5_found(spark, str(tmp_path)).collect()] == [(1, 2)]
+    assert [tuple(r) for r in registry.p5_records(spark, str(tmp_path)).collect()] == [(1, 2, "t", "s11", "u", "o11", "MIT", "v00")]
+
+
 def test_values_field_by_field(rows):
     data = [(1, 1, "a", "MIT", None, 1, "p"), (1, 2, "b", " ", "x", 2, "p"), (1, 3, "c", None, "y", 3, "p"), (2, 4, "a", None, "", 1, "p")]
     got = {r.g: (r.lic, r.sha) for r in s.latest_values(frame(rows, data), "g", "id", ["lic", "sha"], "t").collect()}

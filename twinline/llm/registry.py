@@ -48,14 +48,11 @@ PLACE = ["repo_slug", "file_path", "line"]
 FIELDS = ["scenario", "feature", "repo", "license_spdx", "commit_sha"]
 
 
-CHANGING = ["license_spdx", "commit_sha"]
-
-
 def _cluster_rows(spark: SparkSession, d: str, fields: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """The steps rows of each cluster with their completeness and some fields, and the order of values if any row has no time."""
     steps = table(spark, d, "steps")
-    order = survivors.closed(survivors.precedence(steps, PLACE, CHANGING, "mined_at")) if survivors.untimed(steps, "mined_at") else None
-    kept = fields if order is None else sorted({*fields, *CHANGING})
+    order = survivors.closed(survivors.precedence(steps, PLACE, FIELDS, "mined_at")) if survivors.untimed(steps, "mined_at") else None
+    kept = fields if order is None else FIELDS
     members = table(spark, d, "cluster_members_hybrid").select("cluster_id", *PLACE).distinct()
     rows = steps.select("step_id", *PLACE, "text", *kept, "mined_at", survivors.completeness(FIELDS).alias("full")).join(members, PLACE)
     return rows, order
@@ -63,7 +60,7 @@ def _cluster_rows(spark: SparkSession, d: str, fields: list[str]) -> tuple[DataF
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows, order = _cluster_rows(spark, d, [])
-    best = survivors.survivors(rows, "cluster_id", "step_id", "text", "full", "mined_at", CHANGING, order)
+    best = survivors.survivors(rows, "cluster_id", "step_id", "text", "full", "mined_at", FIELDS, order)
     stored = table(spark, d, "clusters_hybrid").select("cluster_id", "canonical_text")
     return stored.join(best, "cluster_id").filter(~F.col("canonical_text").eqNullSafe(F.col("best_text"))).select("cluster_id", "step_id")
 
@@ -71,7 +68,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
     """Each cluster's survivor and best text, with every other field at its latest value."""
     rows, order = _cluster_rows(spark, d, FIELDS)
-    best = survivors.survivors(rows, "cluster_id", "step_id", "text", "full", "mined_at", CHANGING, order)
+    best = survivors.survivors(rows, "cluster_id", "step_id", "text", "full", "mined_at", FIELDS, order)
     return best.join(survivors.latest_values(rows, "cluster_id", "step_id", FIELDS, "mined_at", order), "cluster_id")
 
 

@@ -42,13 +42,19 @@ def precedence(rows: DataFrame, entity: list[str], fields: list[str], time: str)
     return seen.filter("balance <> 0").select("field", F.when(forth, F.col("p")).otherwise(F.col("q")).alias("older"), F.when(forth, F.col("q")).otherwise(F.col("p")).alias("newer"))
 
 
-def closed(order: DataFrame, rounds: int = 3) -> DataFrame:
-    """order with the pairs that follow over other values, over chains of up to 2 ** rounds steps; what follows both ways is dropped."""
-    for _ in range(rounds):
+def closed(order: DataFrame) -> DataFrame:
+    """order with the pairs that follow over other values, over chains of any length; what follows both ways is dropped.
+
+    Each round doubles the length of the chains and is checkpointed; the last one is that which adds no pair.
+    """
+    order = cut(order.distinct())
+    before, n = -1, order.count()
+    while n != before:
         first = order.select("field", "older", F.col("newer").alias("via"))
         then = order.select("field", F.col("older").alias("via"), "newer")
         chained = first.join(then, ["field", "via"]).filter("older <> newer").select("field", "older", "newer")
         order = cut(order.unionByName(chained).distinct())
+        before, n = n, order.count()
     back = order.select("field", F.col("newer").alias("older"), F.col("older").alias("newer"))
     return order.join(back, ["field", "older", "newer"], "left_anti")
 
