@@ -28,6 +28,15 @@ def test_halves_give_the_ids_of_the_whole(enc, parts, leaf):
     assert encoding.decode(enc, ids).decode() == text
 
 
+def test_ordinary_documents_are_joined_of_halves(enc, monkeypatch):
+    joined = []
+    join = encoding.join
+    monkeypatch.setattr(encoding, "join", lambda *a: joined.append(1) or join(*a))
+    text = "Feature: a cart\n  Given an item isn't sold out\n" * 25
+    assert 1000 < len(text) < 1500 and encoding.encode(enc, text) == enc.encode_ordinary(text)
+    assert joined
+
+
 @pytest.mark.parametrize("text", ["a" * 50_000, "日本語" * 9000, " " * 30_000, "word " * 20_000, "'" * 20_000, "x1" * 20_000, "\n\n" * 9000 + "end"])
 def test_very_long_texts(enc, text):
     assert encoding.encode(enc, text) == enc.encode_ordinary(text)

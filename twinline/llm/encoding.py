@@ -35,8 +35,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Folder of the vocabulary files; a parameter, the files are no part of this library.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
-#: Texts up to this many characters are encoded at once.
-LEAF = 8192
+#: Texts up to this many characters are encoded at once; most documents are longer, and are joined of halves.
+LEAF = 512
 
 _CUT = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])|(?<=')(?=\p{N})"
 _FIRST_CUT, _LAST_CUT = regex.compile(_CUT), regex.compile(f"(?r){_CUT}")
