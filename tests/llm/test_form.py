@@ -34,6 +34,24 @@ def test_forms(text, want):
     assert form.skeleton(text) == form.skeleton(want)
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("шiсть", "шість"), ("ѓaвoлcтвoсsм", "ѓаволствосѕм"),  # Latin i in a Ukrainian word, Latin s in a Cyrillic one
+    ("mеthоdг", "methodг"), ("σigmа", "σigma"), ("γhеllо", "γhello"),  # a Cyrillic ge, Greek sigma and gamma beside look-alikes
+    ("USBкабeль", "USBкабель"), ("JSкод", "JSкод"), ("SIMкарта", "SIMкарта"), ("IPадрес", "IPадрес"), ("USBшнур", "USBшнур"),
+])
+def test_look_alikes_beside_unmistakable_letters(text, want):
+    assert form.consistent(text) == want == form.consistent(want)
+    assert form.skeleton(text) == form.skeleton(want)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from("aeislutbgwSQаеіѕӏугюшΑυσγ1й"), max_size=12))
+def test_mixed_words_are_stable(text):
+    once = form.consistent(text)
+    assert form.consistent(once) == once
+    assert form.skeleton(once) == form.skeleton(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("aеoо1Ａ１ﬁéé́​‍️  \n✔👩кяΑω-゙カｶﾞ"), max_size=30))
 def test_form_is_stable(text):

@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 # Cyrillic and Greek letters that are drawn as a Latin letter.
 CYRILLIC = dict(zip("асеорхуіјѕһԁԛԝӏѵАВСЕНІЈКМОРЅТХУԚԜѴԌӀ", "aceopxyijshdqwlvABCEHIJKMOPSTXYQWVGI", strict=True))
 GREEK = dict(zip("αινορυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aivopuABEZHIKMNOPTYX", strict=True))
-#: The Russian letter for each Latin one; other Cyrillic look-alikes don't occur in the Cyrillic words met here.
+#: The Cyrillic letter for each Latin one, and those of them that are Russian.
+FROM_LATIN = {v: k for k, v in reversed(CYRILLIC.items())}
 RUSSIAN = {v: k for k, v in CYRILLIC.items() if k in "асеорхуАВСЕНКМОРТХУ"}
 LOOKALIKES = CYRILLIC | GREEK
 
@@ -37,6 +38,8 @@ BLANKS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 PLAIN = r"^[\t\n\x0b\f\r\x1c-\x1f -~]*$"
 
 _WORD = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{M}\p{Nd}]+")
+_RUN = regex.compile(r"(?:\p{Latin}\p{M}*)+|(?:\p{Greek}\p{M}*)+|(?:\p{Cyrillic}\p{M}*)+|[\p{M}\p{Nd}]+")
+_LETTER = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}]")
 _MIXED = regex.compile(r"[\p{Greek}\p{Cyrillic}]")
 _LATIN, _GREEK, _CYR = regex.compile(r"\p{Latin}"), regex.compile(r"\p{Greek}"), regex.compile(r"\p{Cyrillic}")
 _EMOJI = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\p{Regional_Indicator}]")
@@ -67,7 +70,7 @@ class _Table(dict):
 
 
 _PROTOTYPES = _Table()
-_SKELETON = str.maketrans(LOOKALIKES)
+_SKELETON, _CYRILLIC = str.maketrans(LOOKALIKES), str.maketrans(FROM_LATIN)
 
 
 def _emoji(text: str) -> str:
@@ -92,6 +95,28 @@ def _emoji(text: str) -> str:
     return "".join(out)
 
 
+def _unmistakable(run: str) -> bool:
+    """Whether a run of one script is written so on purpose: by a letter without look-alike, or as an abbreviation (JS, SIM)."""
+    letters = _LETTER.findall(run)
+    if not _LATIN.match(run):
+        return any(c not in LOOKALIKES for c in letters)
+    return any(c not in FROM_LATIN for c in letters) or (len(letters) > 1 and any(c not in RUSSIAN for c in letters))
+
+
+def _by_runs(word: str) -> str:
+    """word with each run of look-alikes in the script that has most letters in unmistakable runs; those are kept."""
+    runs = _RUN.findall(word)
+    sure = [_unmistakable(r) for r in runs]
+    n_latin, n_cyrillic, n_greek = (sum(len(x.findall(r)) for r, s in zip(runs, sure, strict=True) if s) for x in (_LATIN, _CYR, _GREEK))
+    if n_latin > max(n_cyrillic, n_greek):
+        table = _SKELETON
+    elif n_cyrillic > max(n_latin, n_greek):
+        table = _CYRILLIC
+    else:
+        return word
+    return "".join(r if s else r.translate(table) for r, s in zip(runs, sure, strict=True))
+
+
 @lru_cache(65536)
 def _word(word: str) -> str:
     """A decomposed word with look-alikes of the other script replaced by letters of its own."""
@@ -106,7 +131,7 @@ def _word(word: str) -> str:
         return word.translate(_SKELETON)
     if cyrillic and not greek and all(c in RUSSIAN for c in latin):
         return word.translate(str.maketrans(RUSSIAN))
-    return word  # letters of two scripts that can't be mistaken: written so on purpose
+    return _by_runs(word)
 
 
 def _decomposed(text: str) -> str:
