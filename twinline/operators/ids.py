@@ -1,4 +1,4 @@
-"""Sequential numbers in a global order without a global window."""
+"""Sequential numbers and running totals in a global order, without a global window."""
 
 from __future__ import annotations
 
@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from twinline.session import cut, partitions
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
-    """rows with their number in order. Rows are range-partitioned and sorted; each partition starts where the one before ends.
+def before(rows: DataFrame, order: list[Column], weight: Column, name: str) -> DataFrame:
+    """rows with the sum of the weights, whole numbers, of all rows that come before in order.
 
-    The order should be total, else rows that tie are numbered in any order.
+    Rows are range-partitioned and sorted; each partition starts with the total of those before it. The order should
+    be total, else rows that tie are placed in any order. An empty table gives no rows.
     """
-    parts = cut(rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("__part", F.spark_partition_id()))
-    sizes = dict(parts.groupBy("__part").count().collect())  # one row a partition
-    first, n = {}, start
-    for p in sorted(sizes):
-        first[p] = n
-        n += sizes[p]
-    if not first:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    offset = F.create_map(*(F.lit(x) for kv in first.items() for x in kv))
-    w = Window.partitionBy("__part").orderBy(*order)
-    return parts.withColumn(name, (F.element_at(offset, F.col("__part")) + F.row_number().over(w) - 1).cast("long")).drop("__part")
+    parts = cut(rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("__part", F.spark_partition_id()).withColumn("__w", weight.cast("long")))
+    sums = dict(parts.groupBy("__part").agg(F.sum("__w")).collect())  # one row a partition
+    first, total = {}, 0
+    for p in sorted(sums):
+        first[p] = total
+        total += sums[p] or 0
+    offset = F.element_at(F.create_map(*(F.lit(x) for kv in first.items() for x in kv)), F.col("__part")) if first else F.lit(0)
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn(name, (offset + F.coalesce(F.sum("__w").over(w), F.lit(0))).cast("long")).drop("__part", "__w")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
+    """rows with their number in order."""
+    return before(rows, order, F.lit(1), name).withColumn(name, F.col(name) + start)

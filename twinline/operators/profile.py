@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinline.functions.text import normalise, strip_ends
+from twinline.operators.ids import before
 
 
 def cluster_profile(rows: DataFrame, group: str, canonical: str, position: Column, examples: int = 5) -> DataFrame:
@@ -70,8 +71,6 @@ def length_histogram(rows: DataFrame, text: str = "text", bins: int = 79, top: f
 
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """rows with the rank of a value, ties averaged. Ranks come from one row a distinct value, not from the rows."""
-    sizes = rows.groupBy(value).agg(F.count("*").alias("__n"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = sizes.select(value, (F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).alias(name))
-    return rows.join(ranks, value)
+    """rows with the rank of a value, ties averaged. Ranks come from one row a distinct value, in range partitions."""
+    sizes = before(rows.groupBy(value).agg(F.count("*").alias("__n")), [F.col(value)], F.col("__n"), "__before")
+    return rows.join(sizes.select(value, (F.col("__before") + (F.col("__n") + 1) / 2).alias(name)), value)

@@ -6,7 +6,8 @@ over a third of the partitions. Each partition is sorted and reduced, in one str
 state per key with the first and last value of the counted column; the few states of a key are stitched
 afterwards, so that a value that runs over a partition boundary counts once.
 
-``salted_join`` joins rows with a side of unique keys, of which some are known to be hot.
+``salted_join`` joins rows with a side of unique keys and cuts every key that holds more than half of an even
+partition into pieces of that size.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from pyspark.sql import types as T
 
 from twinline.session import partitions
 
-#: Keys with at least this share of the rows are salted; so at most 1 / HOT_SHARE keys can be hot.
-HOT_SHARE = 0.005
-SALTS = 32
+#: A key with fewer rows is never cut, whatever its share.
+LEAST_HOT = 1000
 
 
 def ordered_totals(df: DataFrame, key: Column, distinct: Column, order: Column, weight: Column | None = None, parts: int | None = None) -> DataFrame:
@@ -34,16 +34,7 @@ def ordered_totals(df: DataFrame, key: Column, distinct: Column, order: Column,
     ``distinct``, so that even those rows can be cut over partitions. Other columns of df, whatever their
     names, play no part. An empty table gives no rows.
     """
-    spark = df.sparkSession
-    rows = df.select(
-        key.cast("string").alias("key_val"),
-        distinct.cast("string").alias("d"),
-        order.alias("o"),
-        (F.lit(1) if weight is None else F.coalesce(weight, F.lit(0))).cast("long").alias("w"),
-    ).filter("key_val IS NOT NULL")
-    n = parts or partitions(spark)
-    cut = rows.repartitionByRange(n, "key_val", "d", "o").sortWithinPartitions("key_val", "d").select("key_val", "d", "w")
-    states = cut.withColumn("pid", F.spark_partition_id()).mapInPandas(_states, _STATE)
+    states = partial_states(df, key, distinct, order, weight, parts)
     # A key's states, at most one a partition, in partition order: a boundary value counts in both neighbours.
     w = Window.partitionBy("key_val").orderBy("pid")
     stitched = states.withColumn("twice", (F.lag("last").over(w) == F.col("first")).cast("long"))
@@ -54,6 +45,19 @@ def ordered_totals(df: DataFrame, key: Column, distinct: Column, order: Column,
     )
 
 
+def partial_states(df: DataFrame, key: Column, distinct: Column, order: Column, weight: Column | None = None, parts: int | None = None) -> DataFrame:
+    """The states of each range partition, pid: one a key, with its rows, different values, weight, first and last value."""
+    rows = df.select(
+        key.cast("string").alias("key_val"),
+        distinct.cast("string").alias("d"),
+        order.alias("o"),
+        (F.lit(1) if weight is None else F.coalesce(weight, F.lit(0))).cast("long").alias("w"),
+    ).filter("key_val IS NOT NULL")
+    n = parts or partitions(df.sparkSession)
+    cut = rows.repartitionByRange(n, "key_val", "d", "o").sortWithinPartitions("key_val", "d").select("key_val", "d", "w")
+    return cut.withColumn("pid", F.spark_partition_id()).mapInPandas(_states, _STATE)
+
+
 _STATE = T.StructType([
     T.StructField("pid", T.IntegerType()),
     T.StructField("key_val", T.StringType()),
@@ -100,18 +104,16 @@ def dominating(totals: DataFrame, measure: str, share: float) -> DataFrame:
     return totals.filter(F.col(measure) >= F.lit(share) * whole)
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: str, hot: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
-    """big joined with small on one column; small has each key once.
+def salted_join(big: DataFrame, small: DataFrame, on: str, counts: DataFrame, spread: Column, how: str = "inner", least: int = LEAST_HOT) -> DataFrame:
+    """big joined with small on one column; small has each key once, null keys join nothing.
 
-    hot holds the keys (column ``on``) with at least HOT_SHARE of big's rows: at most 1 / HOT_SHARE of them, so
-    it is broadcast. Rows of big with such a key are spread over SALTS tasks by ``spread``, and small's row of
-    that key is repeated as often; all others are joined as usual.
+    counts has (on, n), the number of big's rows of each key; keys that only small has may be missing. A key is hot
+    if it holds at least ``least`` rows and half of an even partition. So no more than twice as many keys as there
+    are partitions can be hot, and a row for each is broadcast. Rows of big with a hot key are spread by ``spread``
+    over pieces of half a partition, and small's row of that key is repeated once a piece.
     """
-    flag = F.broadcast(hot.select(F.col(on).alias("hot_key")).distinct())
-    left = big.join(flag, F.col(on) == F.col("hot_key"), "left").withColumn(
-        "salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
-    ).drop("hot_key")
-    right = small.join(flag, F.col(on) == F.col("hot_key"), "left").withColumn(
-        "salt", F.explode(F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("hot_key")
-    return left.join(right, [on, "salt"], how).drop("salt")
+    pieces = F.ceil(F.col("n") * (2 * partitions(big.sparkSession)) / counts.agg(F.sum("n")).scalar()).cast("int")
+    hot = F.broadcast(counts.filter(F.col("n") >= least).select(F.col(on).alias("__hot"), pieces.alias("__pieces")).filter("__pieces > 1"))
+    left = big.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__pieces")), F.lit(0)).cast("int")).drop("__hot", "__pieces")
+    right = small.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))).drop("__hot", "__pieces")
+    return left.join(right, [on, "__salt"], how).drop("__salt")
