@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinline.operators.skew import salted_join
+from twinline.operators.skew import LEAST_HOT, salted_join
 from twinline.session import cut
 
 #: Graphs up to this many links are finished in one task, which takes a few MB; larger ones take rounds of joins.
@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", o
         return links.coalesce(1).mapInArrow(_united, f"node {kind}, component {kind}")
     before = None
     while True:
-        links = cut(_small_star(_large_star(links)))
+        links = cut(_small_star(cut(_large_star(links))))
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -62,17 +62,23 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in up], kind)], ["node", "component"])
 
 
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """links with m, the smallest neighbour of u, from least (u, m, n). Only where there are hubs are they cut into pieces."""
+    least = cut(least)
+    if (least.agg(F.max("n")).first()[0] or 0) < LEAST_HOT:
+        return links.join(least.select("u", "m"), "u")
+    return salted_join(links, least.select("u", "m"), "u", least.select("u", "n"), F.col("v"))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour, itself included."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    near = salted_join(both.filter("v > u"), least.select("u", "m"), "u", least.select("u", "n"), F.col("v"))
-    return near.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them. A link's u is the larger end."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    near = salted_join(links, least.select("u", "m"), "u", least.select("u", "n"), F.col("v"))
+    near = _with_least(links, links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
     moved = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    return moved.unionByName(near.select("u", F.col("m").alias("v"))).distinct()
