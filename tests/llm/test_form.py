@@ -44,6 +44,24 @@ def test_look_alikes_beside_unmistakable_letters(text, want):
     assert form.skeleton(text) == form.skeleton(want)
 
 
+@pytest.mark.parametrize(("text", "plain"), [
+    ("𝐩𝐚𝐲", "pay"), ("𝓅𝖆𝚢", "pay"), ("hellօ", "hello"), ("ϲat", "cat"), ("Ⅳ", "IV"), ("ⅻ", "xii"), ("ᎪᏢᏢ", "APP"), ("ꓐꓳꓫ", "BOX"), ("ⲥⲟⲣ", "cop"), ("ſɑgı", "fagi"), ("сор", "cop"),
+])
+def test_what_looks_the_same_has_one_skeleton(text, plain):
+    assert form.skeleton(text) == plain == form.skeleton(plain)
+
+
+@pytest.mark.parametrize(("a", "b"), [("1", "l"), ("0", "O"), ("é", "e"), ("ж", "x"), ("м", "m"), ("²", "2")])
+def test_what_looks_different_has_not(a, b):
+    assert form.skeleton(a) != form.skeleton(b)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from("aeiж1 \u200bеоσ́é𝐩Ⅳօ—＝"), max_size=12))
+def test_candidates_by_skeleton_miss_no_inconsistent_text(text):
+    assert form.may_differ(text) or form.consistent(text) == text
+
+
 @settings(max_examples=500, deadline=None)
 @given(st.text(st.sampled_from("aeislutbgwSQаеіѕӏугюшΑυσγ1й"), max_size=12))
 def test_mixed_words_are_stable(text):
@@ -68,3 +86,10 @@ def test_columns(rows):
     groups = {r.skeleton: (r.n_rows, r.n_spellings, r.form) for r in form.look_alike_groups(df, "t").collect()}
     assert groups["a"] == (3, 2, "a") and groups[""] == (1, 1, "")
     assert form.look_alike_groups(df.limit(0), "t").count() == 0
+
+
+def test_inconsistent_rows(rows):
+    data = [(1, None), (2, ""), (3, "ａ"), (4, "привет"), (5, "pаy"), (6, "жaж"), (7, "café"), (7, "cafe\u0301"), (8, "𝐩𝐚𝐲"), (5, "pаy")]
+    df = rows(data, "id long, t string")
+    assert sorted(r.id for r in form.inconsistent(df, "t").collect()) == [3, 5, 5, 6, 7]
+    assert form.inconsistent(df.limit(0), "t").count() == 0

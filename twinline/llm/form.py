@@ -1,11 +1,15 @@
 """Problem 2: one consistent form for texts that look the same (confusables skeleton).
 
-A text is decomposed, every character is replaced by its prototype, and the result is decomposed again.
-Prototypes come from two places: a rule over the Unicode character database (width variants, ligatures, spaces,
-invisible characters) and a short table of look-alike letters. With all look-alikes replaced by their Latin
-prototype the result is the skeleton, by which spellings that look the same are grouped. With look-alikes
-replaced only where a word mixes scripts, towards the script of that word, and recomposed, it is the consistent
-form. Both have the same skeleton.
+A text is decomposed, every character is replaced by its prototype, and the result is decomposed again: that is its
+skeleton, equal for all spellings that look the same. Prototypes come from two places: rules over the Unicode
+character database (width variants, ligatures, spaces, invisible characters; for skeletons also styled letters such
+as mathematical bold ones and Roman numerals) and a table of look-alike letters. Digits and ASCII letters are their
+own prototypes: 1 and l stay apart.
+
+The consistent form of a text is the one of the spellings with its skeleton that is composed, of normal width, and
+has each word in one script. A word of one script stays as it is; of a mixed one the spelling in that script is taken
+which its letters without look-alike speak for. A text is a candidate if it isn't its own skeleton or mixes scripts
+in a word; among candidates those differ from the form that aren't consistent.
 
 Null has neither form nor skeleton; an empty or blank text keeps its spaces and line breaks. Texts are treated
 whole, however long. Repeated rows are treated alike, each on its own; an empty table gives no rows; a column named
@@ -25,11 +29,18 @@ from pyspark.sql import types as T
 
 # Cyrillic and Greek letters that are drawn as a Latin letter.
 CYRILLIC = dict(zip("асеорхуіјѕһԁԛԝӏѵАВСЕНІЈКМОРЅТХУԚԜѴԌӀ", "aceopxyijshdqwlvABCEHIJKMOPSTXYQWVGI", strict=True))
-GREEK = dict(zip("αινορυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aivopuABEZHIKMNOPTYX", strict=True))
+GREEK = dict(zip("αινορυϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "aivopucjABEZHIKMNOPTYXCJ", strict=True))
+# Letters of other scripts, and unusual Latin ones, that are drawn as a Latin letter. They take part in skeletons only.
+ARMENIAN = dict(zip("օսհոցզյքՕՍԼՏ", "ouhngqjpOULS", strict=True))
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧ", "DRTiAJEWMHGZbRWSVSLCPKd", strict=True))
+COPTIC = dict(zip("ⲟⲣⲥⲞⲢⲤⲎⲒⲔⲘⲚⲦ", "opcOPCHIKMNT", strict=True))
+LISU = dict(zip("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+UNUSUAL = dict(zip("ıɑɡſɩʋᴄᴏᴠᴡᴢгЬ", "iagfivcovwzrb", strict=True))
 #: The Cyrillic letter for each Latin one, and those of them that are Russian.
 FROM_LATIN = {v: k for k, v in reversed(CYRILLIC.items())}
 RUSSIAN = {v: k for k, v in CYRILLIC.items() if k in "асеорхуАВСЕНКМОРТХУ"}
 LOOKALIKES = CYRILLIC | GREEK
+ALL_LOOKALIKES = LOOKALIKES | ARMENIAN | CHEROKEE | COPTIC | LISU | UNUSUAL
 
 LINE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u2028\u2029"
 #: Not of category Cf, yet invisible: grapheme joiner, Hangul fillers, Khmer inherent vowels, Mongolian selectors.
@@ -43,12 +54,12 @@ _LETTER = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}]")
 _MIXED = regex.compile(r"[\p{Greek}\p{Cyrillic}]")
 _LATIN, _GREEK, _CYR = regex.compile(r"\p{Latin}"), regex.compile(r"\p{Greek}"), regex.compile(r"\p{Cyrillic}")
 _EMOJI = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\p{Regional_Indicator}]")
-_SELECTORS = regex.compile("[\u200d\ufe00-\ufe0f\U000e0020-\U000e007f]")
+SELECTORS = regex.compile("[\u200d\ufe00-\ufe0f\U000e0020-\U000e007f]")
 
 
-def _prototype(ch: str) -> str:
+def prototype(ch: str) -> str:
     """What stands for one character before letters are compared. Joiners and selectors are left to _emoji."""
-    if _SELECTORS.match(ch) or ch in LINE_CHARS:
+    if SELECTORS.match(ch) or ch in LINE_CHARS:
         return ch
     kind = unicodedata.category(ch)
     if kind in ("Cf", "Cc") or ch in BLANKS or "\U000e0100" <= ch <= "\U000e01ef":
@@ -65,12 +76,27 @@ class _Table(dict):
     """Prototypes by code point, filled as characters are met; at most one entry a character of Unicode."""
 
     def __missing__(self, code: int) -> str:
-        self[code] = _prototype(chr(code))
+        self[code] = prototype(chr(code))
         return self[code]
 
 
 _PROTOTYPES = _Table()
-_SKELETON, _CYRILLIC = str.maketrans(LOOKALIKES), str.maketrans(FROM_LATIN)
+_LATIN_FORM, _CYRILLIC, _RUSSIAN = str.maketrans(LOOKALIKES), str.maketrans(FROM_LATIN), str.maketrans(RUSSIAN)
+
+
+class _Drawn(dict):
+    """Prototypes of the skeleton by code point: look-alike letters, and by rule styled letters and Roman numerals."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        tag, _, rest = unicodedata.decomposition(ch).partition(" ")
+        styled = tag == "<font>" or (tag == "<compat>" and unicodedata.category(ch) == "Nl")
+        plain = unicodedata.normalize("NFKD", ch) if styled else ch
+        self[code] = "".join(ALL_LOOKALIKES.get(c, c) for c in plain)
+        return self[code]
+
+
+_DRAWN = _Drawn()
 
 
 def _emoji(text: str) -> str:
@@ -109,7 +135,7 @@ def _by_runs(word: str) -> str:
     sure = [_unmistakable(r) for r in runs]
     n_latin, n_cyrillic, n_greek = (sum(len(x.findall(r)) for r, s in zip(runs, sure, strict=True) if s) for x in (_LATIN, _CYR, _GREEK))
     if n_latin > max(n_cyrillic, n_greek):
-        table = _SKELETON
+        table = _LATIN_FORM
     elif n_cyrillic > max(n_latin, n_greek):
         table = _CYRILLIC
     else:
@@ -119,7 +145,7 @@ def _by_runs(word: str) -> str:
 
 @lru_cache(65536)
 def _word(word: str) -> str:
-    """A decomposed word with look-alikes of the other script replaced by letters of its own."""
+    """Of the spellings of a decomposed word with the same skeleton, that in one script."""
     latin, cyrillic, greek = _LATIN.findall(word), _CYR.findall(word), _GREEK.findall(word)
     if bool(latin) + bool(cyrillic) + bool(greek) < 2:
         return word
@@ -127,16 +153,22 @@ def _word(word: str) -> str:
     if not foreign:
         plain_russian = [c for c in cyrillic if c in RUSSIAN.values()]
         if latin and not greek and all(c in RUSSIAN for c in latin) and len(plain_russian) == len(cyrillic) and len(cyrillic) > len(latin):
-            return word.translate(str.maketrans(RUSSIAN))
-        return word.translate(_SKELETON)
+            return word.translate(_RUSSIAN)
+        return word.translate(_LATIN_FORM)
     if cyrillic and not greek and all(c in RUSSIAN for c in latin):
-        return word.translate(str.maketrans(RUSSIAN))
+        return word.translate(_RUSSIAN)
     return _by_runs(word)
 
 
+@lru_cache(65536)
+def resolved_word(word: str) -> str:
+    """The consistent form of one composed word."""
+    return unicodedata.normalize("NFC", _word(unicodedata.normalize("NFD", word)))
+
+
 def _decomposed(text: str) -> str:
     s = unicodedata.normalize("NFD", text).translate(_PROTOTYPES)
-    return _emoji(s) if _SELECTORS.search(s) else s
+    return _emoji(s) if SELECTORS.search(s) else s
 
 
 def consistent(text: str | None) -> str | None:
@@ -151,7 +183,14 @@ def consistent(text: str | None) -> str | None:
 
 def skeleton(text: str | None) -> str | None:
     """Equal for all texts that look the same."""
-    return None if text is None else unicodedata.normalize("NFD", _decomposed(text).translate(_SKELETON))
+    return None if text is None else unicodedata.normalize("NFD", _decomposed(text).translate(_DRAWN))
+
+
+def may_differ(text: str) -> bool:
+    """Whether a text isn't its own skeleton, composed, or has letters of several scripts in a word. All others are in consistent form."""
+    return unicodedata.normalize("NFC", skeleton(text)) != text or any(
+        bool(_LATIN.search(w)) + bool(_GREEK.search(w)) + bool(_CYR.search(w)) > 1 for w in _WORD.findall(text)
+    )
 
 
 @F.pandas_udf(T.StringType())
@@ -164,6 +203,17 @@ def _skeleton(s: pd.Series) -> pd.Series:
     return s.map(skeleton, na_action="ignore")
 
 
+@F.pandas_udf(T.BooleanType())
+def _may_differ(s: pd.Series) -> pd.Series:
+    return pd.Series([may_differ(t) for t in s], dtype=bool)
+
+
+def inconsistent(df: DataFrame, text: str) -> DataFrame:
+    """The rows whose text isn't in consistent form: candidates by their skeleton, which are then compared with their form."""
+    rows = df.filter(F.col(text).isNotNull() & ~F.col(text).rlike(PLAIN)).filter(_may_differ(text))
+    return with_form(rows, text, "__form").filter(F.col("__form") != F.col(text)).drop("__form")
+
+
 def consistent_form(text: Column) -> Column:
     plain = text.rlike(PLAIN)
     return F.when(plain, text).otherwise(_consistent(F.when(~plain, text)))

@@ -10,8 +10,7 @@ from twinline.session import cut, new_path, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "steps").select("step_id", "text").filter(~F.col("text").rlike(form.PLAIN))  # plain texts are consistent
-    return form.with_form(rows, "text").filter("form <> text").select("step_id")
+    return form.inconsistent(table(spark, d, "steps").select("step_id", "text"), "text").select("step_id")
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
