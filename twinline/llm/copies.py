@@ -334,7 +334,11 @@ def _hashed(text: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def _verified(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series(same_phrases(x.tolist(), y.tolist()), dtype=bool)
+    given = x.notna().to_numpy()
+    out = np.ones(len(x), bool)
+    if given.any():
+        out[given] = same_phrases(x[given].tolist(), y[given].tolist())
+    return pd.Series(out)
 
 
 def fields_match(x: str, y: str) -> bool:
@@ -398,7 +402,7 @@ def _starts(batches):
     """
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
-            ids, texts, sums, hs, fields = (c.to_pylist() for c in batch.slice(k, 2000).columns)
+            ids, texts, sums, hs, fields, leads = (c.to_pylist() for c in batch.slice(k, 2000).columns)
             p = _parts(texts)
             start, end = p.written()
             n = end - start
@@ -412,7 +416,7 @@ def _starts(batches):
             keys, sides = [(hashes[0] << np.uint64(31) | hashes[1], at + 1, owner)], [np.zeros(len(at), bool)]
             heads = []
             for i, g in enumerate(p.groups):
-                if g is not None and fields[i] > 1:
+                if g is not None and leads[i] and fields[i] > 1:
                     parts = p.fields(i)
                     lead = next(j for j, (g, _, s, _) in enumerate(parts) if g and s)
                     before = [(h, s) for _, h, s, _ in parts[:lead]]
@@ -434,44 +438,54 @@ def distinct_spellings(df: DataFrame, id_: Column, text: Column) -> DataFrame:
     return cut(texts.withColumn("x", _hashed("spelling")).select("spelling", "id", "n", "x.*"))
 
 
-def links(live: DataFrame) -> DataFrame:
+def open_phrases(distinct: DataFrame) -> DataFrame:
+    """(h, id, spelling, rows, fields, lead_id, n, meets) of the texts that have to be looked at.
+
+    They are those of phrases with several spellings (n), led by the one with the smallest id, and of phrases that
+    share their letters with another one where one has fields (meets). The rest is told from hashes alone.
+    """
+    live = distinct.filter("size > 0")
+    phrases = live.groupBy("h").agg(F.min("id").alias("lead_id"), F.count("*").alias("n"), F.min("u").alias("u"), F.max("fields").alias("fields"))
+    classes = phrases.groupBy("u").agg(F.count("*").alias("n"), F.max("fields").alias("most"))
+    met = classes.filter("n > 1 AND most > 1").select("u", "n", F.lit(True).alias("meets"))
+    flagged = salted_join(phrases, met.select("u", "meets"), "u", met.select("u", "n"), F.col("h"), "left")
+    needed = cut(flagged.select("h", "lead_id", "n", F.coalesce("meets", F.lit(False)).alias("meets")).filter("n > 1 OR meets"))
+    rows = live.select("h", "id", "spelling", F.col("n").alias("rows"), "u", "fields")
+    return cut(salted_join(rows, needed, "h", needed.select("h", "n"), F.col("id")))
+
+
+def links(texts: DataFrame) -> DataFrame:
     """(h, h2, id, id2): phrases with fields, and others with no more of them that may be the same as written; and a spelling of each."""
-    mixed = live.groupBy("u").agg(F.count("*").alias("n"), F.max("fields").alias("most"), F.min("h").alias("p"), F.max("h").alias("q")).filter("most > 1 AND p <> q").select("u", "n")
-    kept = salted_join(live.select("u", "h", "fields", "id"), mixed.select("u"), "u", mixed, F.col("id"))
     # A phrase without fields reads the same in all its spellings; one with fields may be written in several orders.
-    reps = kept.groupBy("u", "h", "fields", F.when(F.col("fields") > 1, F.col("id")).alias("own")).agg(F.min("id").alias("id")).select("id")
-    texts = live.join(reps, "id", "left_semi").select("id", "spelling", "u", "h", "fields")
-    keyed = cut(texts.mapInArrow(_starts, "key long, head boolean, id long, h long, fields long"))
-    heads = keyed.filter("head").groupBy("key", "h", "fields").agg(F.min("id").alias("id"))
+    reps = texts.filter("meets AND (id = lead_id OR fields > 1)")
+    keyed = cut(reps.select("id", "spelling", "u", "h", "fields", (F.col("id") == F.col("lead_id")).alias("lead")).mapInArrow(_starts, "key long, head boolean, id long, h long, fields long"))
+    heads = keyed.filter("head").drop("head")
     starts = keyed.filter("NOT head").select("key", F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("fields").alias("fields2"))
     return heads.join(starts, "key").filter("h <> h2 AND fields2 <= fields").select("h", "h2", "id", "id2").distinct()
 
 
-def merged(live: DataFrame) -> DataFrame:
+def merged(texts: DataFrame) -> DataFrame:
     """(h, whole): phrases with several hashes, as some spelling doesn't part its fields."""
-    found = cut(links(live))
-    one = live.select("id", F.col("spelling").alias("s1"))
-    two = live.select(F.col("id").alias("id2"), F.col("spelling").alias("s2"))
+    found = links(texts)
+    one = texts.select("id", F.col("spelling").alias("s1"))
+    two = texts.select(F.col("id").alias("id2"), F.col("spelling").alias("s2"))
     sure = found.join(one, "id").join(two, "id2").filter(_fields_match("s1", "s2")).select("h", "h2")
     return connected_components(sure, "h", "h2").select(F.col("node").alias("h"), F.col("component").alias("whole"))
 
 
-def spellings(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(g, extra, spelling, id, n) of the texts of phrases with several, and (h, whole) of these phrases' hashes.
+def spellings(texts: DataFrame) -> DataFrame:
+    """(g, extra, spelling, id, n) of the texts of open_phrases(): their phrase is g and extra.
 
-    The spelling with the smallest id leads; the others are compared with it, and those that differ, should hashes
-    ever collide, form groups by their phrase in full (extra).
+    The others of a hash are compared with its lead, and those that differ, should hashes ever collide, form groups
+    by their phrase in full (extra).
     """
-    live = distinct.filter("size > 0")
-    heads = live.groupBy("h").agg(F.min("id").alias("lead_id"), F.count("*").alias("n"))
-    several = cut(heads.join(merged(live), "h", "left").filter("n > 1 OR whole IS NOT NULL"))
-    leads = several.join(live.select(F.col("id").alias("lead_id"), F.col("h").alias("lead_h"), F.col("spelling").alias("lead")), "lead_id").filter("h = lead_h")
-    rows = salted_join(live.select("h", "id", F.col("n").alias("rows"), "spelling"), leads.select("h", "whole", "lead_id", "lead"), "h", several.select("h", "n"), F.col("id"))
-    same = (F.col("id") == F.col("lead_id")) | _verified("spelling", "lead")
-    checked = rows.withColumn("same", same).select(
+    leads = texts.filter("id = lead_id").join(merged(texts), "h", "left").select("h", "whole", F.col("spelling").alias("lead"))
+    rows = salted_join(texts.select("h", "id", "lead_id", "spelling", "rows"), leads, "h", texts.filter("id = lead_id").select("h", "n"), F.col("id"))
+    other = F.col("id") != F.col("lead_id")
+    checked = rows.withColumn("same", ~other | _verified(F.when(other, F.col("spelling")), F.when(other, F.col("lead"))))
+    return cut(checked.select(
         F.coalesce("whole", "h").alias("g"), F.when(F.col("same"), "").otherwise(_in_full(F.when(~F.col("same"), F.col("spelling")))).alias("extra"), "spelling", "id", F.col("rows").alias("n")
-    )
-    return cut(checked), several.select("h", "whole")
+    ))
 
 
 def _groups(checked: DataFrame) -> DataFrame:
@@ -481,10 +495,11 @@ def _groups(checked: DataFrame) -> DataFrame:
 def phrases(df: DataFrame, id_: Column, text: Column) -> DataFrame:
     """One record per phrase: first_id, its stored text, n_spellings, n_copies."""
     distinct = distinct_spellings(df, id_, text)
-    checked, several = spellings(distinct)
+    texts = open_phrases(distinct)
+    checked = spellings(texts)
     named = checked.select(F.col("id").alias("first_id"), F.col("spelling").alias("text"), F.col("g").alias("g2"), F.col("extra").alias("extra2"))
     many = _groups(checked).join(named, "first_id").filter("g = g2 AND extra = extra2").select("first_id", "text", "n_spellings", "n_copies")
-    single = distinct.filter("size > 0").join(several.select("h"), "h", "left_anti").select(F.col("id").alias("first_id"), F.col("spelling").alias("text"), F.lit(1).cast("long").alias("n_spellings"), F.col("n").alias("n_copies"))
+    single = distinct.filter("size > 0").join(texts.filter("id = lead_id").select("h"), "h", "left_anti").select(F.col("id").alias("first_id"), F.col("spelling").alias("text"), F.lit(1).cast("long").alias("n_spellings"), F.col("n").alias("n_copies"))
     return many.unionByName(single)
 
 
@@ -500,7 +515,7 @@ def copy_pairs(df: DataFrame, id_: Column, text: Column) -> DataFrame:
     not they have a phrase or another spelling.
     """
     distinct = distinct_spellings(df, id_, text)
-    checked, _ = spellings(distinct)
+    checked = spellings(open_phrases(distinct))
     groups = _groups(checked).filter("n_spellings > 1")
     counts = groups.select(F.xxhash64("g", "extra").alias("group"), F.col("n_spellings").alias("n"))
     whole = groups.select(F.xxhash64("g", "extra").alias("group"), F.col("g").alias("g2"), F.col("extra").alias("extra2"), "first_id")
