@@ -94,7 +94,23 @@ def test_pack(rows):
     assert packing.pack(df.limit(0), "doc_id").count() == 0
 
 
+def test_items_with_much_loss_stay_whole(rows):
+    """A short item is never split, whatever its loss-bearing tokens; beside one with more than the limit there are none."""
+    data = [(1, 1900, 0), (2, 100, 100), (3, 100, 0), (4, 1500, 200), (5, 2048, 2048), (6, 900, 100), (7, 900, 100)]
+    df = rows(data, "doc_id long, n_tokens int, n_prompt int")
+    got = {r.doc_id: (r.container_id, r.n_tokens, r.n_loss) for r in packing.pack(df, "doc_id", loss=800).collect()}
+    assert {i: g[1] for i, g in got.items()} == {i: n for i, n, _ in data}
+    inside = {}
+    for i, (c, _, loss) in got.items():
+        inside.setdefault(c, []).append(min(loss, 800))
+    assert all(sum(x) <= 800 for x in inside.values()) and got[1][0] != got[3][0] and got[6][0] != got[7][0]
+
+
+def test_prompts():
+    assert [packing.prompt_bytes(t) for t in ("one block\nof text", "a\n\nb", "é\n \n\n b\nc\n\n", "", "\n\n", "\n\na")] == [0, 3, 7, 0, 0, 2]
+
+
 def test_sizes(rows, enc):
-    df = rows([(1, "a title\nand a text"), (2, None), (3, ""), (4, "\nx")], "doc_id long, text string")
+    df = rows([(1, "a title\n\nand a text"), (2, None), (3, ""), (4, "one block\nonly")], "doc_id long, text string")
     got = {r.doc_id: (r.n_tokens, r.n_prompt) for r in packing.sizes(df, "doc_id", "text").collect()}
-    assert got == {1: (len(enc.encode_ordinary("a title\nand a text")), 2), 2: (0, 0), 3: (0, 0), 4: (2, 0)}
+    assert got == {1: (len(enc.encode_ordinary("a title\n\nand a text")), 4), 2: (0, 0), 3: (0, 0), 4: (len(enc.encode_ordinary("one block\nonly")), 0)}

@@ -52,6 +52,13 @@ def encoder(folder: str, name: str):
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(4)
+def byte_lengths(folder: str, name: str) -> np.ndarray:
+    """How many bytes each token stands for."""
+    enc = encoder(folder, name)
+    return np.array([len(enc.decode_single_token_bytes(i)) for i in range(enc.n_vocab)], np.int64)
+
+
 def settled(before: str, after: str) -> bool:
     """Whether pre-tokens always end between these two characters."""
     return _FIRST_CUT.search(before + after) is not None

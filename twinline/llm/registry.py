@@ -89,9 +89,9 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose text doesn't come back from its ids; there are none."""
-    back = encoding.decode_column(p7_ids(spark, d), "doc_id", "ids").withColumnRenamed("text", "back")
-    return table(spark, d, "documents").select("doc_id", "text").join(back, "doc_id").filter(F.coalesce("text", F.lit("")) != F.col("back")).select("doc_id")
+    """Every document with the length and hash of the text that comes back from its ids."""
+    back = encoding.decode_column(p7_ids(spark, d), "doc_id", "ids")
+    return back.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -100,9 +100,28 @@ def p8_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How full the containers are."""
-    used = p8_packing(spark, d).filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"))
-    return used.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"), F.max("k").alias("most_segments"), (F.sum("n") / (F.count("*") * packing.CAPACITY)).alias("fill"))
+    """How full the containers are, and how many there must be at least by each of the limits."""
+    used = p8_packing(spark, d).filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"), F.sum(packing.counted_loss()).alias("l"))
+    needed = F.greatest(F.ceil(F.sum("n") / packing.CAPACITY), F.ceil(F.sum("k") / packing.MOST_SEGMENTS), F.ceil(F.sum("l") / packing.MOST_LOSS))
+    return used.agg(
+        F.count("*").alias("n_containers"), needed.alias("n_needed"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"), F.max("k").alias("most_segments"), F.max("l").alias("most_loss"),
+        F.count_if(F.col("k") == packing.MOST_SEGMENTS).alias("n_full_of_segments"), F.count_if(F.col("l") >= packing.MOST_LOSS * 0.95).alias("n_full_of_loss"),
+        (F.sum("n") / (F.count("*") * packing.CAPACITY)).alias("fill"),
+    )
+
+
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents, tokens lost or doubled, short documents that were split, and containers beyond each limit."""
+    items = cut(packing.sizes(table(spark, d, "documents"), "doc_id", "text"))
+    packed = cut(packing.pack(items, "doc_id"))
+    parts = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"), F.sum(F.col("part_no") * packing.CAPACITY - F.col("start_token")).alias("shift"))
+    each = table(spark, d, "documents").select("doc_id", F.length("text").alias("l")).join(items, "doc_id").join(parts, "doc_id", "left").agg(
+        F.count("*").alias("n_documents"), F.count_if((F.col("l") > 0) & (F.coalesce("n", F.lit(0)) == 0)).alias("n_missing"), F.count_if(~F.col("n").eqNullSafe(F.col("n_tokens"))).alias("n_other_size"),
+        F.count_if((F.col("k") > 1) & (F.col("n_tokens") <= packing.CAPACITY)).alias("n_split_short"), F.count_if(F.col("shift") != 0).alias("n_shifted"),
+    )
+    used = packed.filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"), F.sum(packing.counted_loss()).alias("l"))
+    over = used.agg(*(F.count_if(F.col(c) > m).alias(name) for c, m, name in (("n", packing.CAPACITY, "n_over_tokens"), ("k", packing.MOST_SEGMENTS, "n_over_segments"), ("l", packing.MOST_LOSS, "n_over_loss"))))
+    return each.crossJoin(over)  # a row each
 
 
 def p9_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -150,10 +169,11 @@ _P3 = """
 QUERIES = {
     "p2_found": p2_found, "p2_forms": p2_forms, "p2_groups": p2_groups, "p3_found": p3_found, "p3_terms": p3_terms,
     "p4_found": p4_found, "p4_phrases": p4_phrases, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_groups": p6_groups,
-    "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_languages": p9_languages,
+    "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packing": p8_packing, "p8_fill": p8_fill, "p8_limits": p8_limits, "p9_found": p9_found, "p9_languages": p9_languages,
 }
 SQL = {
-    "p7_decoded": "SELECT doc_id FROM documents WHERE false",
+    "p7_decoded": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
+    "p8_limits": "SELECT count(*) AS n_documents, 0 AS n_missing, 0 AS n_other_size, 0 AS n_split_short, 0 AS n_shifted, 0 AS n_over_tokens, 0 AS n_over_segments, 0 AS n_over_loss FROM documents",
     "p3_terms": _P3, "p3_found": f"SELECT field_name, term, mark FROM ({_P3}) WHERE mark IS NOT NULL",
     "p5_found": f"SELECT cluster_id, step_id FROM ({_P5}) JOIN clusters_hybrid USING (cluster_id) WHERE canonical_text IS DISTINCT FROM best_text",
     "p5_records": _P5_RECORDS, "p6_found": _P6,
