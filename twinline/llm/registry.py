@@ -159,6 +159,12 @@ _P6 = f"""
     WHERE len(a.s) * 5 >= len(b.s) * 4 AND len(b.s) * 5 >= len(a.s) * 4 AND {_REACH.format("a.s", "b.s")}
     UNION ALL SELECT 'labeled_pairs_overlap', id, id FROM (SELECT id, {_SETS.format("text_a")} AS x, {_SETS.format("text_b")} AS y FROM labeled_pairs_overlap) WHERE {_REACH.format("x", "y")}"""
 
+_P6_GROUPS = f"""
+    WITH RECURSIVE p AS (SELECT id_a, id_b FROM ({_P6}) WHERE tbl = 'steps'), w AS (SELECT step_id, list_sort({_SETS.format("text")}) AS s, text FROM steps WHERE length(text) >= 100),
+    c AS (SELECT step_id, min(step_id) OVER (PARTITION BY s, CASE WHEN len(s) = 0 THEN text END) AS class_id FROM w), e AS (SELECT id_a, id_b FROM p UNION SELECT id_b, id_a FROM p),
+    r AS (SELECT step_id AS node, step_id AS root FROM c UNION SELECT e.id_b, r.root FROM r JOIN e ON e.id_a = r.node)
+    SELECT step_id, class_id, group_id FROM c JOIN (SELECT node AS step_id, min(root) AS group_id FROM r GROUP BY 1) USING (step_id)"""
+
 _P3 = """
     WITH t AS (SELECT 'text' AS field_name, step_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z0-9_]+')) AS term FROM steps
                UNION ALL SELECT 'repo', step_id, repo FROM steps WHERE repo IS NOT NULL),
@@ -176,5 +182,5 @@ SQL = {
     "p8_limits": "SELECT count(*) AS n_documents, 0 AS n_missing, 0 AS n_other_size, 0 AS n_split_short, 0 AS n_shifted, 0 AS n_over_tokens, 0 AS n_over_segments, 0 AS n_over_loss FROM documents",
     "p3_terms": _P3, "p3_found": f"SELECT field_name, term, mark FROM ({_P3}) WHERE mark IS NOT NULL",
     "p5_found": f"SELECT cluster_id, step_id FROM ({_P5}) JOIN clusters_hybrid USING (cluster_id) WHERE canonical_text IS DISTINCT FROM best_text",
-    "p5_records": _P5_RECORDS, "p6_found": _P6,
+    "p5_records": _P5_RECORDS, "p6_found": _P6, "p6_groups": _P6_GROUPS,
 }
