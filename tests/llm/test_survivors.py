@@ -13,8 +13,14 @@ def frame(rows, data):
     return rows([(g, i, x, lic, sha, at(day), sum(bool(v and v.strip()) for v in (lic, sha)), 0, "clash", 9, place) for g, i, x, lic, sha, day, place in data], SCHEMA)
 
 
+def current(df, order=None):
+    if order is None:
+        order = df.sparkSession.createDataFrame([], "field string, older string, newer string")
+    return s.current_values(df, "g", ["lic", "sha"], "t", order)
+
+
 def best(df, order=None):
-    return {r.g: (r.id, r.best_text) for r in s.survivors(df, "g", "id", "text", "full", "t", ["lic", "sha"], order).collect()}
+    return {r.g: (r.id, r.best_text) for r in s.survivors(df, "g", "id", "text", "full", "t", ["lic", "sha"], current(df, order)).collect()}
 
 
 def test_order_of_preference(rows):
@@ -36,7 +42,7 @@ def test_learnt_precedence_places_rows_without_time(rows):
     data = [(1, 1, "a", "old", "s", None, "q"), (1, 2, "a", "new", "s", None, "q"), (2, 3, "a", "old", "s", None, "q"), (2, 4, "a", "old", "s", None, "q"), (3, 5, "a", "new", "s", None, "q"), (3, 6, "a", "old", "s", 1, "q")]
     df = frame(rows, data)
     assert best(df, order) == {1: (2, "a"), 2: (3, "a"), 3: (6, "a")}  # a time beats none
-    got = {r.g: (r.lic, r.sha) for r in s.latest_values(df, "g", "id", ["lic", "sha"], "t", order).collect()}
+    got = {r.g: (r.lic, r.sha) for r in s.latest_values(df, "g", "id", ["lic", "sha"], "t", current(df, order)).collect()}
     assert got == {1: ("new", "s"), 2: ("old", "s"), 3: ("old", "s")}
 
 
@@ -45,15 +51,15 @@ def test_order_is_closed_over_other_values(rows):
     got = {tuple(r) for r in s.closed(order).collect()}
     assert got == {("lic", p, q) for p, q in ("ab", "ac", "ad", "bc", "bd", "cd")}
     data = [(1, 1, "t", "a", "s", None, "q"), (1, 2, "t", "d", "s", None, "q"), (1, 3, "t", "b", "s", None, "q")]
-    assert best(frame(rows, data), s.closed(order)) == {1: (2, "t")}
+    assert best(frame(rows, data), order) == {1: (2, "t")}
     assert s.closed(order.limit(0)).count() == 0
 
 
 def test_order_is_closed_over_long_chains_and_cycles(rows):
     chain = [("sha", f"v{i:02}", f"v{i + 1:02}") for i in range(20)]
     cycle = [("lic", f"c{i:02}", f"c{(i + 1) % 11:02}") for i in range(11)]
-    order = s.closed(rows(chain + cycle, "field string, older string, newer string"))
-    assert {tuple(r) for r in order.collect()} == {("sha", f"v{i:02}", f"v{j:02}") for i in range(21) for j in range(i + 1, 21)}
+    order = rows(chain + cycle, "field string, older string, newer string")
+    assert {tuple(r) for r in s.closed(order).collect()} == {("sha", f"v{i:02}", f"v{j:02}") for i in range(21) for j in range(i + 1, 21)}
     data = [(1, 1, "t", "a", "v00", None, "q"), (1, 2, "t", "a", "v20", None, "q")]
     assert best(frame(rows, data), order) == {1: (2, "t")}
 
@@ -73,6 +79,12 @@ def test_queries_place_untimed_rows_by_all_fields(spark, tmp_path):
 
 def test_values_field_by_field(rows):
     data = [(1, 1, "a", "MIT", None, 1, "p"), (1, 2, "b", " ", "x", 2, "p"), (1, 3, "c", None, "y", 3, "p"), (2, 4, "a", None, "", 1, "p")]
-    got = {r.g: (r.lic, r.sha) for r in s.latest_values(frame(rows, data), "g", "id", ["lic", "sha"], "t").collect()}
+    df = frame(rows, data)
+    got = {r.g: (r.lic, r.sha) for r in s.latest_values(df, "g", "id", ["lic", "sha"], "t", current(df)).collect()}
     assert got == {1: ("MIT", "y"), 2: (None, None)}
-    assert not s.untimed(frame(rows, data), "t") and s.untimed(frame(rows, [(1, 1, "a", None, None, None, "p")]), "t")
+
+
+def test_equal_times_teach_nothing(rows):
+    data = [(1, 1, "a", "x", "s", 1, "p"), (1, 2, "a", "y", "s", 1, "p"), (1, 3, "a", None, "s", 2, "p"), (1, 4, "a", "z", " ", 3, "p"), (1, 5, "a", "w", "s", None, "p")]
+    order = s.precedence(frame(rows, data), ["place"], ["lic", "sha"], "t")
+    assert {tuple(r) for r in order.collect()} == {("lic", "y", "z")}

@@ -47,28 +47,36 @@ PLACE = ["repo_slug", "file_path", "line"]
 FIELDS = ["scenario", "feature", "repo", "license_spdx", "commit_sha"]
 
 
-def _cluster_rows(spark: SparkSession, d: str, fields: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """The steps rows of each cluster with their completeness and some fields, and the order of values if any row has no time."""
-    steps = table(spark, d, "steps")
-    order = survivors.closed(survivors.precedence(steps, PLACE, FIELDS, "mined_at")) if survivors.untimed(steps, "mined_at") else None
-    kept = fields if order is None else FIELDS
-    members = table(spark, d, "cluster_members_hybrid").select("cluster_id", *PLACE).distinct()
-    rows = steps.select("step_id", *PLACE, "text", *kept, "mined_at", survivors.completeness(FIELDS).alias("full")).join(members, PLACE)
-    return rows, order
+def _cluster_rows(steps: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The steps rows of each cluster with their completeness, and the current values of clusters with rows that have no time."""
+    order = survivors.precedence(steps, PLACE, FIELDS, "mined_at")
+    places = members.select("cluster_id", *PLACE).distinct()
+    rows = steps.select("step_id", *PLACE, "text", *FIELDS, "mined_at", survivors.completeness(FIELDS).alias("full")).join(places, PLACE)
+    return rows, survivors.current_values(rows, "cluster_id", FIELDS, "mined_at", order)
+
+
+def _survivors(steps: DataFrame, members: DataFrame) -> DataFrame:
+    rows, current = _cluster_rows(steps, members)
+    return survivors.survivors(rows, "cluster_id", "step_id", "text", "full", "mined_at", FIELDS, current)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    rows, order = _cluster_rows(spark, d, [])
-    best = survivors.survivors(rows, "cluster_id", "step_id", "text", "full", "mined_at", FIELDS, order)
+    best = _survivors(table(spark, d, "steps"), table(spark, d, "cluster_members_hybrid"))
     stored = table(spark, d, "clusters_hybrid").select("cluster_id", "canonical_text")
     return stored.join(best, "cluster_id").filter(~F.col("canonical_text").eqNullSafe(F.col("best_text"))).select("cluster_id", "step_id")
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
     """Each cluster's survivor and best text, with every other field at its latest value."""
-    rows, order = _cluster_rows(spark, d, FIELDS)
-    best = survivors.survivors(rows, "cluster_id", "step_id", "text", "full", "mined_at", FIELDS, order)
-    return best.join(survivors.latest_values(rows, "cluster_id", "step_id", FIELDS, "mined_at", order), "cluster_id")
+    rows, current = _cluster_rows(table(spark, d, "steps"), table(spark, d, "cluster_members_hybrid"))
+    best = survivors.survivors(rows, "cluster_id", "step_id", "text", "full", "mined_at", FIELDS, current)
+    return best.join(survivors.latest_values(rows, "cluster_id", "step_id", FIELDS, "mined_at", current), "cluster_id")
+
+
+def p5_undated(spark: SparkSession, d: str) -> DataFrame:
+    """Each cluster's survivor where every third row has lost its time and is placed by what the others teach."""
+    steps = table(spark, d, "steps").withColumn("mined_at", F.when(F.col("step_id") % 3 != 0, F.col("mined_at")))
+    return _survivors(steps, table(spark, d, "cluster_members_hybrid"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -151,6 +159,29 @@ _P5_RECORDS = f"""
     v AS (SELECT m.cluster_id, {_LATEST} FROM m JOIN steps s USING (repo_slug, file_path, line) GROUP BY 1)
     SELECT b.cluster_id, b.step_id, b.best_text, v.* EXCLUDE (cluster_id) FROM ({_P5}) b JOIN v USING (cluster_id)"""
 
+_LIST = ", ".join(FIELDS)
+_NAMES = ", ".join(f"'{f}'" for f in FIELDS)
+_P5_UNDATED = f"""
+    WITH RECURSIVE s AS (SELECT * REPLACE (CASE WHEN step_id % 3 <> 0 THEN mined_at END AS mined_at) FROM steps),
+    l AS (SELECT *, unnest([{_NAMES}]) AS field, unnest([{_LIST}]) AS value FROM s WHERE mined_at IS NOT NULL),
+    g AS (SELECT field, value AS newer, mined_at, lag(value) OVER w AS older, lag(mined_at) OVER w AS before FROM l WHERE regexp_matches(value, '\\S')
+          WINDOW w AS (PARTITION BY field, repo_slug, file_path, line ORDER BY mined_at, {", ".join(f"{f} NULLS FIRST" for f in FIELDS)})),
+    b AS (SELECT field, least(older, newer) AS p, greatest(older, newer) AS q, sum(CASE WHEN older < newer THEN 1 ELSE -1 END) AS balance FROM g WHERE older <> newer AND before < mined_at GROUP BY ALL),
+    e AS (SELECT field, CASE WHEN balance > 0 THEN p ELSE q END AS older, CASE WHEN balance > 0 THEN q ELSE p END AS newer FROM b WHERE balance <> 0),
+    c AS (SELECT * FROM e UNION SELECT c.field, c.older, e.newer FROM c JOIN e ON c.field = e.field AND c.newer = e.older),
+    o AS (SELECT * FROM c WHERE older <> newer AND (field, newer, older) NOT IN (SELECT (field, older, newer) FROM c)),
+    m AS (SELECT DISTINCT cluster_id, repo_slug, file_path, line FROM cluster_members_hybrid),
+    r AS (SELECT m.cluster_id, s.* FROM m JOIN s USING (repo_slug, file_path, line)),
+    x AS (SELECT cluster_id, step_id, mined_at, unnest([{_NAMES}]) AS field, unnest([{_LIST}]) AS value FROM r),
+    v AS (SELECT DISTINCT cluster_id, field, value FROM x WHERE regexp_matches(value, '\\S')),
+    k AS (SELECT * FROM v WHERE (cluster_id, field, value) NOT IN (SELECT (v.cluster_id, v.field, v.value) FROM v JOIN o ON o.field = v.field AND o.older = v.value JOIN v f ON f.cluster_id = v.cluster_id AND f.field = v.field AND f.value = o.newer)),
+    n AS (SELECT cluster_id, step_id, count(*) AS n_current FROM x JOIN k USING (cluster_id, field, value) WHERE mined_at IS NULL GROUP BY ALL),
+    h AS (SELECT cluster_id, step_id, count(*) FILTER (regexp_matches(value, '\\S')) AS filled FROM x GROUP BY ALL),
+    t AS (SELECT cluster_id, text, count(*) AS n FROM r WHERE text IS NOT NULL GROUP BY ALL),
+    a AS (SELECT cluster_id, text FROM t QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, length(text), encode(text)) = 1)
+    SELECT cluster_id, step_id, r.text AS best_text FROM r JOIN a USING (cluster_id, text) JOIN h USING (cluster_id, step_id) LEFT JOIN n USING (cluster_id, step_id)
+    QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY filled DESC, r.mined_at DESC NULLS LAST, coalesce(n_current, 0) DESC, step_id) = 1"""
+
 _SETS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{Nd}}]+'))"
 _REACH = "len({0}) + len({1}) > 0 AND len(list_intersect({0}, {1})) * 9 >= (len({0}) + len({1})) * 4"
 _P6 = f"""
@@ -174,7 +205,7 @@ _P3 = """
 
 QUERIES = {
     "p2_found": p2_found, "p2_forms": p2_forms, "p2_groups": p2_groups, "p3_found": p3_found, "p3_terms": p3_terms,
-    "p4_found": p4_found, "p4_phrases": p4_phrases, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_groups": p6_groups,
+    "p4_found": p4_found, "p4_phrases": p4_phrases, "p5_found": p5_found, "p5_records": p5_records, "p5_undated": p5_undated, "p6_found": p6_found, "p6_groups": p6_groups,
     "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packing": p8_packing, "p8_fill": p8_fill, "p8_limits": p8_limits, "p9_found": p9_found, "p9_languages": p9_languages,
 }
 SQL = {
@@ -182,5 +213,5 @@ SQL = {
     "p8_limits": "SELECT count(*) AS n_documents, 0 AS n_missing, 0 AS n_other_size, 0 AS n_split_short, 0 AS n_shifted, 0 AS n_over_tokens, 0 AS n_over_segments, 0 AS n_over_loss FROM documents",
     "p3_terms": _P3, "p3_found": f"SELECT field_name, term, mark FROM ({_P3}) WHERE mark IS NOT NULL",
     "p5_found": f"SELECT cluster_id, step_id FROM ({_P5}) JOIN clusters_hybrid USING (cluster_id) WHERE canonical_text IS DISTINCT FROM best_text",
-    "p5_records": _P5_RECORDS, "p6_found": _P6, "p6_groups": _P6_GROUPS,
+    "p5_records": _P5_RECORDS, "p5_undated": _P5_UNDATED, "p6_found": _P6, "p6_groups": _P6_GROUPS,
 }
