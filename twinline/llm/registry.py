@@ -52,7 +52,8 @@ def _cluster_rows(steps: DataFrame, members: DataFrame) -> tuple[DataFrame, Data
     order = survivors.precedence(steps, PLACE, FIELDS, "mined_at")
     places = members.select("cluster_id", *PLACE).distinct()
     rows = steps.select("step_id", *PLACE, "text", *FIELDS, "mined_at", survivors.completeness(FIELDS).alias("full")).join(places, PLACE)
-    return rows, survivors.current_values(rows, "cluster_id", FIELDS, "mined_at", order)
+    undated = steps.join(survivors.undated_members(steps, places, "cluster_id", PLACE, "mined_at"), PLACE)
+    return rows, survivors.current_values(undated, "cluster_id", FIELDS, order)
 
 
 def _survivors(steps: DataFrame, members: DataFrame) -> DataFrame:

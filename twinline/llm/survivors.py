@@ -34,11 +34,13 @@ def _filled(c: str) -> Column:
 def precedence(rows: DataFrame, entity: list[str], fields: list[str], time: str) -> DataFrame:
     """(field, older, newer): value transitions that timed rows of the same entity show more often than their reverse.
 
-    One sort of the rows by entity serves all fields; a field's older value is the last one filled.
+    One sort of the rows by entity serves all fields; a field's older value is the last one filled. Entities and
+    values are 64-bit hashes, so that a row shuffles one number a field, however long its values are.
     """
-    w = Window.partitionBy(*entity).orderBy(time, *fields).rowsBetween(Window.unboundedPreceding, -1)
-    filled = [F.when(_filled(f), F.struct(F.col(time).alias("t"), F.col(f).alias("v"))) for f in fields]
-    timed = rows.filter(F.col(time).isNotNull()).select(*entity, time, *fields)
+    timed = rows.filter(F.col(time).isNotNull()).select(F.xxhash64(*entity).alias("e"), F.col(time).alias("t"), *(F.when(_filled(f), F.xxhash64(f)).alias(f"v{i}") for i, f in enumerate(fields)))
+    values = [f"v{i}" for i in range(len(fields))]
+    w = Window.partitionBy("e").orderBy("t", *values).rowsBetween(Window.unboundedPreceding, -1)
+    filled = [F.when(F.col(v).isNotNull(), F.struct("t", F.col(v).alias("v"))) for v in values]
     both = timed.select(*(F.struct(F.lit(f).alias("field"), F.last(x, ignorenulls=True).over(w).alias("old"), x.alias("new")).alias(f"m{i}") for i, (f, x) in enumerate(zip(fields, filled, strict=True))))
     moves = F.filter(F.array(*(f"m{i}" for i in range(len(fields)))), lambda m: (m["old"]["t"] < m["new"]["t"]) & (m["old"]["v"] != m["new"]["v"]))
     seen = both.select(F.explode(moves).alias("m"))
@@ -74,26 +76,34 @@ def _values(rows: DataFrame, group: str, fields: list[str]) -> DataFrame:
 
 def _touched(order: DataFrame, values: DataFrame) -> DataFrame:
     """The parts of the order, connected over any transitions, that hold one of the values."""
-    def node(value: str):
-        return F.to_json(F.struct("field", F.col(value).alias("value")))
-
-    parts = cut(connected_components(order.select(node("older").alias("src"), node("newer").alias("dst"))))
-    kept = parts.join(values.select(node("value").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
+    parts = cut(connected_components(order.select(F.xxhash64("field", "older").alias("src"), F.xxhash64("field", "newer").alias("dst"))))
+    kept = parts.join(values.select(F.xxhash64("field", "h").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
     nodes = parts.join(kept, "component", "left_semi").select("node")
-    return order.withColumn("node", node("older")).join(nodes, "node", "left_semi").drop("node")
+    return order.withColumn("node", F.xxhash64("field", "older")).join(nodes, "node", "left_semi").drop("node")
+
+
+#: Rows of members that are broadcast at most, about 10 MB; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
+
+
+def undated_members(rows: DataFrame, members: DataFrame, group: str, entity: list[str], time: str) -> DataFrame:
+    """The members, (group, entity), of groups that hold a row without a time."""
+    places = rows.filter(F.col(time).isNull()).select(*entity).distinct()
+    found = cut(members.join(members.join(places, entity, "left_semi").select(group).distinct(), group, "left_semi"))
+    return F.broadcast(found) if found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else found
 
 
-def current_values(rows: DataFrame, group: str, fields: list[str], time: str, order: DataFrame) -> DataFrame:
-    """(group, field, value, n): of groups that have rows without a time, the values that no other value of the group is known to follow.
+def current_values(rows: DataFrame, group: str, fields: list[str], order: DataFrame) -> DataFrame:
+    """(group, field, value, n): the values of each group that no other value of the group is known to follow.
 
-    order is that of precedence(); it is closed here, as far as the groups' values are concerned.
+    rows are all those of the groups that have rows without a time. order is that of precedence(); it is closed here,
+    as far as the groups' values are concerned.
     """
-    undated = rows.filter(F.col(time).isNull()).select(group).distinct()
-    values = cut(_values(rows.join(undated, group, "left_semi"), group, fields))
+    values = cut(_values(rows, group, fields).withColumn("h", F.xxhash64("value")))
     whole = closed(_touched(cut(order), values))
-    later = values.select(group, "field", F.col("value").alias("newer"))
-    passed = values.join(whole.withColumnRenamed("older", "value"), ["field", "value"]).join(later, [group, "field", "newer"], "left_semi").select(group, "field", "value").distinct()
-    return cut(values.join(passed, [group, "field", "value"], "left_anti"))
+    later = values.select(group, "field", F.col("h").alias("newer"))
+    passed = values.join(whole.withColumnRenamed("older", "h"), ["field", "h"]).join(later, [group, "field", "newer"], "left_semi").select(group, "field", "value").distinct()
+    return cut(values.join(passed, [group, "field", "value"], "left_anti").select(group, "field", "value", "n"))
 
 
 def _undated(rows: DataFrame, group: str, id_: str, fields: list[str], time: str, current: DataFrame) -> DataFrame:
