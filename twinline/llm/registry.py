@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinline.llm import copies, encoding, form, language, near, packing, survivors, terms
 from twinline.session import cut, new_path, table
 
 
+PLACE = ["repo_slug", "file_path", "line"]
+FIELDS = ["scenario", "feature", "repo", "license_spdx", "commit_sha"]
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return form.inconsistent(table(spark, d, "steps").select("step_id", "text"), "text").select("step_id")
 
@@ -35,6 +39,24 @@ def p3_terms(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, d)
 
 
+def p3_updated(spark: SparkSession, d: str) -> DataFrame:
+    """Counts after three batches: all steps as first mined, then those mined again in place of their older rows, then without steps of unlisted repositories."""
+    steps = table(spark, d, "steps").select("step_id", *PLACE, "text", "repo", "mined_at")
+    w = Window.partitionBy(*PLACE).orderBy("mined_at", "step_id")
+    versions = cut(steps.withColumn("i", F.row_number().over(w)).withColumn("last", F.lead("step_id").over(w).isNull()))
+    listed = table(spark, d, "repos").select(F.col("full_name").alias("repo")).distinct()
+    batches = [
+        (versions.filter("i = 1"), None),
+        (versions.filter("i > 1 AND last"), versions.filter("i = 1 AND NOT last")),
+        (None, versions.filter("last AND repo IS NOT NULL").join(listed, "repo", "left_anti")),
+    ]
+    counts = terms.TermCounts(spark, new_path(spark, "term-counts"), ["text"], ["repo"])
+    for k, (added, deleted) in enumerate(batches):
+        for _ in range(2):  # the second time is skipped
+            counts.update(added, deleted, "steps", k)
+    return counts.terms()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copy_pairs(table(spark, d, "steps"), F.col("step_id"), F.col("text"))
 
@@ -43,10 +65,6 @@ def p4_phrases(spark: SparkSession, d: str) -> DataFrame:
     return copies.phrases(table(spark, d, "steps"), F.col("step_id"), F.col("text"))
 
 
-PLACE = ["repo_slug", "file_path", "line"]
-FIELDS = ["scenario", "feature", "repo", "license_spdx", "commit_sha"]
-
-
 def _cluster_rows(steps: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The steps rows of each cluster with their completeness, and the current values of clusters with rows that have no time."""
     order = survivors.precedence(steps, PLACE, FIELDS, "mined_at")
@@ -197,22 +215,25 @@ _P6_GROUPS = f"""
     r AS (SELECT step_id AS node, step_id AS root FROM c UNION SELECT e.id_b, r.root FROM r JOIN e ON e.id_a = r.node)
     SELECT step_id, class_id, group_id FROM c JOIN (SELECT node AS step_id, min(root) AS group_id FROM r GROUP BY 1) USING (step_id)"""
 
-_P3 = """
-    WITH t AS (SELECT 'text' AS field_name, step_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z0-9_]+')) AS term FROM steps
-               UNION ALL SELECT 'repo', step_id, repo FROM steps WHERE repo IS NOT NULL),
-    n AS (SELECT 'text' AS field_name, count(text) AS all_rows FROM steps UNION ALL SELECT 'repo', count(repo) FROM steps),
+_TERMS = """
+    WITH t AS (SELECT 'text' AS field_name, step_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z0-9_]+')) AS term FROM {0}
+               UNION ALL SELECT 'repo', step_id, repo FROM {0} WHERE repo IS NOT NULL),
+    n AS (SELECT 'text' AS field_name, count(text) AS all_rows FROM {0} UNION ALL SELECT 'repo', count(repo) FROM {0}),
     c AS (SELECT field_name, term, count(*) AS n_occurrences, count(DISTINCT step_id) AS n_rows FROM t GROUP BY ALL)
     SELECT field_name, term, n_occurrences, n_rows, CASE WHEN n_rows < 3 THEN 'too_rare' WHEN n_rows * 10 > all_rows THEN 'too_common' END AS mark FROM c JOIN n USING (field_name)"""
+_P3 = _TERMS.format("steps")
+_LAST = "(SELECT * FROM (SELECT * FROM steps QUALIFY lead(step_id) OVER (PARTITION BY repo_slug, file_path, line ORDER BY mined_at NULLS FIRST, step_id) IS NULL) WHERE repo IS NULL OR repo IN (SELECT full_name FROM repos))"
+_P3_UPDATED = _TERMS.format(_LAST)
 
 QUERIES = {
-    "p2_found": p2_found, "p2_forms": p2_forms, "p2_groups": p2_groups, "p3_found": p3_found, "p3_terms": p3_terms,
+    "p2_found": p2_found, "p2_forms": p2_forms, "p2_groups": p2_groups, "p3_found": p3_found, "p3_terms": p3_terms, "p3_updated": p3_updated,
     "p4_found": p4_found, "p4_phrases": p4_phrases, "p5_found": p5_found, "p5_records": p5_records, "p5_undated": p5_undated, "p6_found": p6_found, "p6_groups": p6_groups,
     "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packing": p8_packing, "p8_fill": p8_fill, "p8_limits": p8_limits, "p9_found": p9_found, "p9_languages": p9_languages,
 }
 SQL = {
     "p7_decoded": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
     "p8_limits": "SELECT count(*) AS n_documents, 0 AS n_missing, 0 AS n_other_size, 0 AS n_split_short, 0 AS n_shifted, 0 AS n_over_tokens, 0 AS n_over_segments, 0 AS n_over_loss FROM documents",
-    "p3_terms": _P3, "p3_found": f"SELECT field_name, term, mark FROM ({_P3}) WHERE mark IS NOT NULL",
+    "p3_terms": _P3, "p3_updated": _P3_UPDATED, "p3_found": f"SELECT field_name, term, mark FROM ({_P3}) WHERE mark IS NOT NULL",
     "p5_found": f"SELECT cluster_id, step_id FROM ({_P5}) JOIN clusters_hybrid USING (cluster_id) WHERE canonical_text IS DISTINCT FROM best_text",
     "p5_records": _P5_RECORDS, "p5_undated": _P5_UNDATED, "p6_found": _P6, "p6_groups": _P6_GROUPS,
 }

@@ -1,18 +1,25 @@
 """Problem 3: occurrences and record counts of every term, kept up to date by signed deltas.
 
-The counts live in a table partitioned by field and hash bucket of the term. An update reads only the changed
-records: every version of a record that goes counts -1, every one that comes +1. The deltas are added up per
-term, joined into the buckets they fall in, and only those buckets are written anew; a small manifest names
-the directory of each bucket, so a reader sees either the old or the new state. Null values are no records of
-their field; a text without terms is one. Repeated rows count as often as they occur, other columns play no part,
-and an empty table changes nothing.
+The counts live in segments, tables partitioned by field and hash bucket of the term. An update reads only the changed
+records: every version of a record that goes counts -1, every one that comes +1. The deltas are added up per term and
+written as one more segment; nothing else is rewritten. When deltas have grown to half of the base, or are too many
+files to read, all segments are merged into a new base, with as many buckets as its size asks for.
+
+Every change is published as a manifest with the next number, which takes its name in one rename and is never written
+again: a reader or a crash at any moment sees the old state or the new one, and of two writers one fails. Segments that
+the last KEEP manifests name stay, so that running readers find their files. A manifest also holds the last batch
+number of each source; an update with a number not beyond it was taken in before and is skipped, so that a batch can
+be tried again.
+
+Null values are no records of their field; a text without terms is one. Repeated rows count as often as they occur,
+other columns play no part, and an empty table changes nothing.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,63 +57,114 @@ def field_deltas(rows: DataFrame, texts: list[str], values: list[str], sign: Col
     return sums.filter("n_occurrences <> 0 OR n_rows <> 0")
 
 
+BUCKET_ROWS = 1_000_000
+MOST_SEGMENTS = 8
+KEEP = 3
+
+
 class TermCounts:
     """Persistent counts below ``path``, a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, texts: list[str], values: list[str], buckets: int = 64) -> None:
-        self.spark, self.path, self.texts, self.values, self.buckets = spark, path, texts, values, buckets
+    def __init__(self, spark: SparkSession, path: str, texts: list[str], values: list[str], bucket_rows: int = BUCKET_ROWS) -> None:
+        self.spark, self.path, self.texts, self.values, self.bucket_rows = spark, path, texts, values, bucket_rows
 
     def _fs(self):
         jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        return jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _manifest(self) -> dict[str, str]:
+    def versions(self) -> list[int]:
+        """The numbers of the manifests, rising."""
         fs, path = self._fs()
-        p = path(f"{self.path}/manifest")
-        if not fs.exists(p):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.path}/manifest").first()[0])
-
-    def _publish(self, manifest: dict[str, str]) -> None:
+        folder = path(f"{self.path}/manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def manifest(self, version: int | None = None) -> dict:
+        """The newest manifest, or an earlier one."""
+        known = self.versions()
+        if not known:
+            return {"version": 0, "buckets": 1, "segments": [], "batches": {}}
+        text = self.spark.read.text(f"{self.path}/manifests/{version or known[-1]:012d}", wholetext=True).first()[0]
+        return json.loads(text)
+
+    def _publish(self, manifest: dict) -> None:
+        """Writes a manifest aside and gives it the next number; fails if another writer was first."""
         fs, path = self._fs()
-        new = f"{self.path}/manifest-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(new)
-        fs.delete(path(f"{self.path}/manifest"), True)
-        fs.rename(path(new), path(f"{self.path}/manifest"))
-
-    def read(self, buckets: set[int] | None = None) -> DataFrame:
-        """The counts, of all buckets or of some."""
-        dirs = [f"{self.path}/{v}/bucket={b}" for b, v in self._manifest().items() if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(STATE).parquet(*dirs) if dirs else self.spark.createDataFrame([], STATE)
-
-    def update(self, added: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
-        """Takes in added and deleted records; a changed one is given in both, in its new and its old version."""
-        signed = [x.select(*self.texts, *self.values, F.lit(s).cast("long").alias("__sign")) for x, s in ((added, 1), (deleted, -1)) if x is not None]
-        if not signed:
-            return
-        rows = signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
-        deltas = field_deltas(rows, self.texts, self.values, F.col("__sign"))
-        bucket = F.pmod(F.xxhash64("field_name", "term"), F.lit(self.buckets)).cast("int")
-        old = self._manifest()
-        touched: set[int] = set()
-        if old:
-            kept = f"{self.path}/delta-{uuid.uuid4().hex}"
-            deltas.write.parquet(kept)
-            deltas = self.spark.read.schema(STATE).parquet(kept)
-            touched = {r[0] for r in deltas.select(bucket.alias("b")).distinct().collect()}  # at most one row a bucket
-            both = deltas.unionByName(self.read(touched))
-            deltas = both.groupBy("field_name", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_rows").alias("n_rows")).filter("n_rows <> 0 OR n_occurrences <> 0")
-        version = f"v-{uuid.uuid4().hex}"
-        deltas.withColumn("bucket", bucket).repartition(min(self.buckets, self.spark.sparkContext.defaultParallelism * 4), "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{version}")
+        aside, name = path(f"{self.path}/aside-{uuid.uuid4().hex}"), path(f"{self.path}/manifests/{manifest['version']:012d}")
+        fs.mkdirs(name.getParent())
+        out = fs.create(aside)
+        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        out.close()
+        if fs.exists(name) or not fs.rename(aside, name):
+            fs.delete(aside, False)
+            raise RuntimeError(f"version {manifest['version']} was published by another writer")
+        self._clear()
+
+    def _clear(self) -> None:
+        """Removes manifests before the last KEEP, and the segments that only they name."""
         fs, path = self._fs()
-        written = {s.getPath().getName()[7:] for s in fs.listStatus(path(f"{self.path}/{version}")) if s.getPath().getName().startswith("bucket=")}
-        now = {b: v for b, v in old.items() if int(b) not in touched} | {b: version for b in written}
-        self._publish(now)
-        for gone in {v for v in old.values()} - set(now.values()):
-            fs.delete(path(os.path.join(self.path, gone)), True)
-        if old:
-            fs.delete(path(kept), True)
+        known = self.versions()
+        kept = {s["folder"] for v in known[-KEEP:] for s in self.manifest(v)["segments"]}
+        for v in known[:-KEEP]:
+            for s in self.manifest(v)["segments"]:
+                if s["folder"] not in kept:
+                    fs.delete(path(f"{self.path}/{s['folder']}"), True)
+            fs.delete(path(f"{self.path}/manifests/{v:012d}"), False)
+
+    def _write(self, counts: DataFrame, buckets: int) -> dict:
+        folder = f"segment-{uuid.uuid4().hex}"
+        bucket = F.pmod(F.xxhash64("field_name", "term"), F.lit(buckets)).cast("int")
+        placed = counts.withColumn("bucket", bucket)
+        if buckets > 1:
+            placed = placed.repartition(buckets, "bucket")
+        placed.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        return {"folder": folder, "rows": self._segment(folder).count()}
+
+    def _segment(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(f"{STATE}, bucket int").parquet(f"{self.path}/{folder}").select("field_name", "term", "n_occurrences", "n_rows")
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The counts, of the newest state or of an earlier one that is still kept."""
+        return self._merged(self.manifest(version)["segments"])
+
+    def _merged(self, segments: list[dict]) -> DataFrame:
+        parts = [self._segment(s["folder"]) for s in segments if s["rows"]]
+        if not parts:
+            return self.spark.createDataFrame([], STATE)
+        if len(parts) == 1:
+            return parts[0]
+        sums = reduce(DataFrame.unionByName, parts).groupBy("field_name", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_rows").alias("n_rows"))
+        return sums.filter("n_rows <> 0 OR n_occurrences <> 0")
+
+    def update(self, added: DataFrame | None = None, deleted: DataFrame | None = None, source: str = "", batch: int | None = None) -> bool:
+        """Takes in added and deleted records; a changed one is given in both, in its new and its old version.
+
+        batch numbers the updates of a source, rising. False if the batch had been taken in before.
+        """
+        signed = [x.select(*self.texts, *self.values, F.lit(s).cast("long").alias("__sign")) for x, s in ((added, 1), (deleted, -1)) if x is not None]
+        if not signed and batch is None:
+            return True
+        now = self.manifest()
+        if batch is not None and batch <= now["batches"].get(source, -1):
+            return False
+        segments = now["segments"]
+        if signed:
+            deltas = field_deltas(reduce(DataFrame.unionByName, signed), self.texts, self.values, F.col("__sign"))
+            segments = [*segments, self._write(deltas, now["buckets"])]
+        batches = now["batches"] | ({} if batch is None else {source: batch})
+        self._publish({"version": now["version"] + 1, "buckets": now["buckets"], "segments": segments, "batches": batches})
+        base, *later = segments or [{"rows": 0}]
+        outgrown = base["rows"] > 2 * now["buckets"] * self.bucket_rows
+        if outgrown or len(later) >= MOST_SEGMENTS or 2 * sum(s["rows"] for s in later) > base["rows"] > 0:
+            self.compact()
+        return True
+
+    def compact(self) -> None:
+        """Merges all segments into one, and finds the number of buckets anew."""
+        now = self.manifest()
+        buckets = max(1, -(-max(s["rows"] for s in now["segments"]) // self.bucket_rows))
+        merged = self._write(self._merged(now["segments"]), buckets)
+        self._publish({"version": now["version"] + 1, "buckets": buckets, "segments": [merged], "batches": now["batches"]})
 
     def terms(self) -> DataFrame:
         """field_name, term, n_occurrences, n_rows and mark (too_rare, too_common or null) of every term."""
