@@ -88,6 +88,24 @@ def test_empty_files_and_dialects():
     assert [(s["keyword"], s["text"]) for s in steps] == [("前提", "ログインしている")]
 
 
+def test_only_a_line_feed_ends_a_line():
+    steps, error = gherkin.parse_text("Feature: F\r\n  Scenario: S\r\n    Given a\u2028b\x0bc\u0085d\x0ce\r\n    Then x\n")
+    assert error is None and [(s["text"], s["line"]) for s in steps] == [("a\u2028b\x0bc\u0085d\x0ce", 3), ("x", 4)]
+
+
+def test_dialects_from_a_file(spark, tmp_path):
+    words = {"feature": ["Funzionalità"], "background": ["Contesto"], "rule": ["Regola"], "scenario": ["Scenario"], "scenarioOutline": ["Schema dello scenario"], "examples": ["Esempi"],
+             "given": ["* ", "Dato "], "when": ["* ", "Quando "], "then": ["* ", "Allora "], "and": ["* ", "E "], "but": ["* ", "Ma "]}
+    (tmp_path / "languages.json").write_text(json.dumps({"it": words}))
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/a.feature").write_text("# language: it\nFunzionalità: F\n  Scenario: S\n    Dato un testo\n    Allora c'è\n")
+    (tmp_path / "f/b.feature").write_text(PLAIN)
+    assert gherkin.parse_text((tmp_path / "f/a.feature").read_text())[1] is not None
+    got = gherkin.read_steps(spark, str(tmp_path / "f"), str(tmp_path / "languages.json")).collect()
+    assert sorted((r.keyword, r.text) for r in got)[:2] == [("Allora", "c'è"), ("Dato", "un testo")] and len(got) == 5
+    assert gherkin.parse_files(spark, str(tmp_path / "f"), max_files=1).count() == 1
+
+
 @pytest.fixture
 def folder(tmp_path):
     (tmp_path / "a/b").mkdir(parents=True)
@@ -129,6 +147,10 @@ def test_html_is_escaped(spark, rows, tmp_path):
     c = rows([("<script>", "exact", 2, 1)], "canonical_text string, strategy string, count long, occurrence_files long")
     m = rows([("<script>", "Given", "<script>", "f", 1, False, True)], "canonical_text string, keyword string, text string, file_path string, line int, is_background boolean, is_outline boolean")
     reports.write_html({"strategy": "exact"}, c, m, str(tmp_path / "x.html"))
+    more = c.union(rows([("b", "exact", 1, 1)], c.schema))
+    for top, n in ((1, 1), (None, 2), (500, 2)):
+        reports.write_html({"strategy": "exact"}, more, m, str(tmp_path / "y.html"), top_n=top)
+        assert (tmp_path / "y.html").read_text().count("<details>") == n
     page = (tmp_path / "x.html").read_text()
     assert "<script>" not in page and "&lt;script&gt;" in page and 'class="ol"' in page
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 # Licences by class.
-PERMISSIVE = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "CC0-1.0", "0BSD")
+PERMISSIVE = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "ISC", "Unlicense", "0BSD")
 COPYLEFT = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-1.0", "EPL-2.0")
 
 
@@ -55,9 +55,13 @@ def quoted_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit("\"[^\"\\\\]*\"|'[^'\\\\]*'"))
 
 
+# Fixed value: what counts as a parameter of a step.
+PARAMETER = "\"[^\"]*\"|'[^']*'|(?U)[<>][\\w-]+[<>]|[0-9]+"
+
+
 def bare_words(text: Column) -> Column:
     """Lower-case words with quoted values, placeholders and numbers replaced by 'param', parted by single blanks."""
-    named = F.regexp_replace(text, "\"[^\"]*\"|'[^']*'|(?U)[<>][\\w-]+[<>]|[0-9]+", " PARAM ")
+    named = F.regexp_replace(text, PARAMETER, " PARAM ")
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(named), r"(?U)[^\w\s]", " "), f"[{WHITE}]+", " "))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinline import api
@@ -126,8 +126,7 @@ def j9_unlisted_repos(spark, d):
 @query("SELECT id, text_a, text_b, band FROM labeled_pairs_overlap WHERE text_a IS NOT NULL AND text_b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY least(text_a, text_b), greatest(text_a, text_b) ORDER BY band DESC NULLS LAST, id) = 1")
 def j10_distinct_pairs(spark, d):
     rows = table(spark, d, "labeled_pairs_overlap").select("id", "text_a", "text_b", "band").filter("text_a IS NOT NULL AND text_b IS NOT NULL")
-    w = Window.partitionBy(F.least("text_a", "text_b"), F.greatest("text_a", "text_b")).orderBy(F.desc_nulls_last("band"), "id")
-    return rows.withColumn("i", F.row_number().over(w)).filter("i = 1").drop("i")
+    return pairs.distinct_pairs(rows, "text_a", "text_b", F.struct("band", -F.col("id")))
 
 
 _EXACT = f"SELECT {_norm('text')} AS canonical_text, count(*) AS count, count(DISTINCT concat_ws('/', repo_slug, file_path)) AS occurrence_files FROM steps WHERE {_norm('text')} <> '' GROUP BY 1 HAVING count(*) >= 2"
@@ -199,9 +198,15 @@ def g12_license_strata(spark, d):
 _RATE = f"SELECT repo_slug, count(*) AS n_steps, count(DISTINCT {_strip('text')}) AS n_unique, 1 - count(DISTINCT {_strip('text')}) / count(*) AS dup_rate FROM steps WHERE text IS NOT NULL GROUP BY 1"
 
 
-@query(_RATE)
+@query(f"SELECT r.*, license_class FROM ({_RATE}) r JOIN (SELECT repo_slug, first(license_class ORDER BY step_id) AS license_class FROM steps GROUP BY 1) USING (repo_slug)")
 def g13_repo_duplication(spark, d):
-    return profile.duplication(steps(spark, d), "repo_slug")
+    first = steps(spark, d).groupBy("repo_slug").agg(F.min_by("license_class", "step_id").alias("license_class"))
+    return profile.duplication(steps(spark, d), "repo_slug").join(first, "repo_slug")
+
+
+@query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 5) AS cos FROM embeddings x, embeddings y")
+def j7_similarity_matrix(spark, d):
+    return pairs.similarity_matrix(table(spark, d, "embeddings"), "vec_id", "embedding").withColumn("cos", F.round("cos", 5))
 
 
 @query(f"SELECT row_number() OVER (ORDER BY count DESC, canonical_text) AS rank, count FROM ({_EXACT})")
@@ -387,9 +392,18 @@ def x11_bare_words(spark, d):
     return table(spark, d, "labeled_pairs_overlap").select("id", text.bare_words(F.col("text_a")).alias("words"))
 
 
-@query()
+_TFIDF = f"""WITH s AS (SELECT id, 0 AS side, text_a AS t FROM labeled_pairs_overlap WHERE text_a IS NOT NULL UNION ALL SELECT id, 1, text_b FROM labeled_pairs_overlap WHERE text_b IS NOT NULL),
+    w AS (SELECT id, side, ' ' || unnest(list_filter(regexp_split_to_array(lower(t), '{W}'), lambda x: x <> '')) || ' ' AS w FROM s), k AS (SELECT *, unnest([3, 4, 5]) AS k FROM w),
+    i AS (SELECT *, unnest(range(1, greatest(length(w) - k + 1, 1) + 1)) AS i FROM k WHERE k = 3 OR k <= length(w)),
+    f AS (SELECT id, side, w[i:i + k - 1] AS g, 1 + ln(count(*)) AS tf FROM i GROUP BY ALL), d AS (SELECT g, ln((1 + (SELECT count(*) FROM s)) / (1 + count(*))) + 1 AS idf FROM f GROUP BY 1),
+    v AS (SELECT id, side, g, tf * idf AS x FROM f JOIN d USING (g)), n AS (SELECT id, sqrt(sum(x * x) FILTER (side = 0)) * sqrt(sum(x * x) FILTER (side = 1)) AS n FROM v GROUP BY 1),
+    c AS (SELECT a.id, sum(a.x * b.x) AS xy FROM v a JOIN v b ON a.id = b.id AND a.g = b.g AND a.side = 0 AND b.side = 1 GROUP BY 1)
+    SELECT l.id, round(coalesce(xy / n, 0), 6) AS cos FROM labeled_pairs_overlap l LEFT JOIN c USING (id) LEFT JOIN n USING (id)"""
+
+
+@query(_TFIDF)
 def x13_tfidf_cosine(spark, d):
-    return stats.tfidf_cosine(table(spark, d, "labeled_pairs_overlap"), "id", "text_a", "text_b")
+    return stats.tfidf_cosine(table(spark, d, "labeled_pairs_overlap"), "id", "text_a", "text_b").withColumn("cos", F.round("cos", 6))
 
 
 @query("SELECT id, " + "coalesce(" + ", ".join(f"CASE WHEN text_a LIKE '%\"{v}\"%' OR ' ' || {_strip('text_a')} || ' ' LIKE '% {v} %' THEN '{v}' END" for v in rules.VERBS) + ") AS verb FROM labeled_pairs_overlap")
@@ -522,8 +536,11 @@ def s2_score_free_label(spark, d):
     return _labelled(spark, d).select("id", rules.score_free_label(F.col("text_a"), F.col("text_b")).alias("x")).select("id", "x.*")
 
 
-def _sweep_sql(lo: int, hi: int) -> str:
-    return f"""WITH t AS (SELECT unnest(range({lo}, {hi + 1})) / 100 AS threshold), p AS (SELECT unnest(['semantic', 'near-exact', 'hybrid']) AS strategy, unnest([cos, lev, CASE WHEN lev BETWEEN 0.3 AND 0.95 THEN cos END]) AS score, consensus = 1 AS g FROM labeled_pairs_overlap WHERE consensus IS NOT NULL),
+_SCORES = "SELECT unnest(['semantic', 'near-exact', 'hybrid']) AS strategy, unnest([cos, lev, CASE WHEN lev BETWEEN 0.3 AND 0.95 THEN cos END]) AS score, consensus = 1 AS g FROM labeled_pairs_overlap WHERE consensus IS NOT NULL"
+
+
+def _sweep_sql(lo: int, hi: int, scores: str = _SCORES) -> str:
+    return f"""WITH t AS (SELECT unnest(range({lo}, {hi + 1})) / 100 AS threshold), p AS ({scores}),
     c AS (SELECT strategy, threshold, count(*) FILTER (coalesce(score >= threshold, false) AND g) AS tp, count(*) FILTER (coalesce(score >= threshold, false) AND NOT g) AS fp, count(*) FILTER (NOT coalesce(score >= threshold, false) AND g) AS fn, count(*) FILTER (NOT coalesce(score >= threshold, false) AND NOT g) AS tn FROM p, t GROUP BY ALL),
     q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM c)
     SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM q"""
@@ -544,15 +561,21 @@ def s7_best_rounded(spark, d):
     return stats.best(api.calibration_sweep(_labelled(spark, d), F.col("consensus") == 1), rounded=True)
 
 
-@query()
+@query(f"""WITH RECURSIVE q AS ({_sweep_sql(50, 99)}), o AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY threshold) AS i FROM q),
+    w AS (SELECT strategy, i, threshold, f1 FROM o WHERE i = 1 UNION ALL SELECT o.strategy, o.i, CASE WHEN o.f1 > round(w.f1, 4) THEN o.threshold ELSE w.threshold END, CASE WHEN o.f1 > round(w.f1, 4) THEN o.f1 ELSE w.f1 END FROM w JOIN o ON o.strategy = w.strategy AND o.i = w.i + 1)
+    SELECT q.* FROM q JOIN (SELECT strategy, threshold FROM w QUALIFY i = max(i) OVER (PARTITION BY strategy)) USING (strategy, threshold)""")
 def s7_best_in_order(spark, d):
     return stats.best_in_order(api.calibration_sweep(_labelled(spark, d), F.col("consensus") == 1))
 
 
-@query()
+_BASELINES = f"""SELECT unnest(['jaccard', 'tfidf']) AS strategy, unnest([CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, cos]) AS score, g
+    FROM (SELECT {_words('text_a')} AS a, {_words('text_b')} AS b, t.cos AS cos, consensus = 1 AS g FROM labeled_pairs_overlap JOIN ({_TFIDF}) t USING (id) WHERE consensus IS NOT NULL)"""
+
+
+@query(_sweep_sql(*stats.BASELINE_SWEEP, _BASELINES))
 def s8_baseline_sweep(spark, d):
     rows = _labelled(spark, d).withColumn("jaccard", text.token_jaccard(text.bare_words(F.col("text_a")), text.bare_words(F.col("text_b"))))
-    rows = rows.join(stats.tfidf_cosine(rows, "id", "text_a", "text_b").withColumnRenamed("cos", "tfidf"), "id")
+    rows = rows.join(x13_tfidf_cosine(spark, d).withColumnRenamed("cos", "tfidf"), "id")
     return stats.sweep(rows, {"jaccard": F.col("jaccard"), "tfidf": F.col("tfidf")}, F.col("consensus") == 1, stats.BASELINE_SWEEP)
 
 
@@ -582,8 +605,18 @@ def s12_bootstrap(spark, d):
     return stats.bootstrap(_labelled(spark, d), F.col("id"), points, F.col("consensus") == 1)
 
 
-@query()
+@query(f"""WITH d AS (SELECT license_class AS g, count(*) AS n, count(DISTINCT {_strip('text')}) AS u FROM steps WHERE text IS NOT NULL AND license_class IS NOT NULL GROUP BY 1),
+    t AS (SELECT sum(n) AS n, sum(u) AS u FROM d), e AS (SELECT d.n AS n, d.u AS u, d.n * (t.n - t.u) / t.n AS x, d.n * t.u / t.n AS y, t.n AS total FROM d, t),
+    a AS (SELECT sum((n - u - x) ** 2 / x + (u - y) ** 2 / y) AS chi2, count(*) - 1 AS df, max(total) AS total FROM e), r AS (SELECT g, n, round(1 - u / n, 4) AS p FROM d),
+    z AS (SELECT r.g AS g, b.p AS p1, r.p AS p2, b.n AS n1, r.n AS n2, (b.p * b.n + r.p * r.n) / (b.n + r.n) AS pooled FROM r, r b WHERE b.g = 'permissive' AND r.g <> 'permissive')
+    SELECT 'all' AS test, round(chi2, 6) AS statistic, df::DOUBLE AS df, round(sqrt(chi2 / total), 6) AS effect FROM a
+    UNION ALL SELECT 'permissive_vs_' || g, round(coalesce((p1 - p2) / nullif(sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n2)), 0), 0), 6), NULL, round(abs(2 * asin(sqrt(p1)) - 2 * asin(sqrt(p2))), 6) FROM z""")
 def s13_chi_square(spark, d):
+    return s13_p_values(spark, d).select("test", F.round("statistic", 6).alias("statistic"), "df", F.round("effect", 6).alias("effect"))
+
+
+@query()
+def s13_p_values(spark, d):
     return stats.chi_square(profile.duplication(steps(spark, d).filter("license_class IS NOT NULL"), "license_class"), "license_class", "permissive")
 
 
@@ -594,6 +627,12 @@ def s14_spearman(spark, d):
     return stats.spearman(rows, "n_steps", "dup_rate").withColumn("rho", F.round("rho", 9))
 
 
+@query()
+def s14_p_value(spark, d):
+    r = s14_spearman(spark, d).first()
+    return spark.createDataFrame([(r.n, r.rho, stats.spearman_p(r.n, r.rho))], "n long, rho double, p_value double")
+
+
 @query(f"SELECT median(n_steps) AS size, median(dup_rate) AS rate FROM ({_RATE})")
 def s15_medians(spark, d):
     return profile.duplication(steps(spark, d), "repo_slug").agg(F.median("n_steps").alias("size"), F.median("dup_rate").alias("rate"))

@@ -84,15 +84,15 @@ def write_json(summary: dict, clusters: DataFrame, members: DataFrame, path: str
 _STYLE = "body{font-family:sans-serif;max-width:70em;margin:2em auto}dl{display:flex;flex-wrap:wrap;gap:1em}dt{color:#555}dd{margin:0;font-size:1.3em}td{padding:0 .6em;font-family:monospace}.bg,.ol{font-style:italic}"
 
 
-def write_html(summary: dict, clusters: DataFrame, members: DataFrame, path: str, top_n: int = TOP_HTML) -> None:
-    """One HTML page with a collapsible card for each of the largest clusters with all its members; all text is escaped."""
+def write_html(summary: dict, clusters: DataFrame, members: DataFrame, path: str, top_n: int | None = TOP_HTML) -> None:
+    """One HTML page with a collapsible card for each of the largest clusters, or all without top_n, with all its members; all text is escaped."""
     esc = lambda x: html.escape(str(x))
     total = clusters.count()
     tiles = "".join(f"<div><dt>{esc(k)}</dt><dd>{esc(v)}</dd></div>" for k, v in summary.items())
-    note = f"<p>The {top_n} largest of {total} clusters are shown. The JSON report has all.</p>" if total > top_n else ""
+    note = f"<p>The {top_n} largest of {total} clusters are shown. The JSON report has all.</p>" if top_n is not None and total > top_n else ""
     with open(path, "w", encoding="utf-8") as f:
         f.write(f'<!doctype html><html lang="en"><meta charset="utf-8"><title>Duplicate steps</title><style>{_STYLE}</style><h1>Duplicate steps</h1><dl>{tiles}</dl>{note}')
-        for c, its in _with_members(_top(clusters, top_n), members):
+        for c, its in _with_members(clusters if top_n is None else _top(clusters, top_n), members):
             f.write(f"<details><summary><b>{c['count']}</b> in {c['occurrence_files']} files: {esc(c['canonical_text'])}</summary><table>")
             for m in its:
                 mark = "bg" if m.get("is_background") else "ol" if m.get("is_outline") else ""

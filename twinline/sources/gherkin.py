@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ STEP = T.StructType([
 ])
 PARSED = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("error", T.StringType()), T.StructField("steps", T.ArrayType(STEP))])
 
-# The words of each dialect (feature, rule, background, scenario, outline, examples, steps).
+# Fixed values, dialects at hand without a file; load_dialects() adds all others. The words of each dialect (feature, rule, background, scenario, outline, examples, steps).
 DIALECTS = {
     "en": (("Feature", "Business Need", "Ability"), ("Rule",), ("Background",), ("Example", "Scenario"), ("Scenario Outline", "Scenario Template"), ("Examples", "Scenarios"), ("* ", "Given ", "When ", "Then ", "And ", "But ")),
     "de": (("Funktionalität", "Funktion"), ("Rule", "Regel"), ("Grundlage", "Hintergrund", "Voraussetzungen", "Vorbedingungen"), ("Beispiel", "Szenario"), ("Szenariogrundriss", "Szenarien"), ("Beispiele",), ("* ", "Angenommen ", "Gegeben sei ", "Gegeben seien ", "Wenn ", "Dann ", "Und ", "Aber ")),
@@ -43,8 +44,9 @@ def _keyword(raw: str) -> str:
 class _Reader:
     """One pass over the lines of a file. State is where the next line may belong."""
 
-    def __init__(self, text: str) -> None:
-        self.lines = text.splitlines()
+    def __init__(self, text: str, dialects: dict) -> None:
+        self.lines = text.split("\n")  # a line ends at a line feed only; other breaks are text
+        self.dialects = dialects
         self.dialect("en", 0)
         self.feature: str | None = None
         self.feature_tags: list[str] = []
@@ -60,9 +62,9 @@ class _Reader:
         self.out: list[dict] = []
 
     def dialect(self, name: str, no: int) -> None:
-        if name not in DIALECTS:
+        if name not in self.dialects:
             raise GherkinError(f"({no}:1): Language not supported: {name}")
-        *heads, self.step_words = DIALECTS[name]
+        *heads, self.step_words = self.dialects[name]
         self.heads = sorted(((w, role) for role, words in zip(_ROLES, heads, strict=True) for w in words), key=lambda x: -len(x[0]))
         self.step_words = sorted(self.step_words, key=len, reverse=True)
 
@@ -145,25 +147,42 @@ class _Reader:
         return self.out
 
 
-def parse_text(text: str) -> tuple[list[dict], str | None]:
+_STEPS = ("given", "when", "then", "and", "but")
+
+
+def load_dialects(path: str) -> dict:
+    """The dialects of a file in the format in which all of them are published (gherkin-languages.json), and those at hand."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    heads = ("feature", "rule", "background", "scenario", "scenarioOutline", "examples")
+    return DIALECTS | {name: (*(tuple(d.get(h, ())) for h in heads), tuple({w: 0 for k in _STEPS for w in d[k]})) for name, d in found.items()}
+
+
+def parse_text(text: str, dialects: dict | None = None) -> tuple[list[dict], str | None]:
     """(steps, error) of one file. A file that breaks the grammar has an error and no steps; it never raises."""
     try:
         if text.startswith("\ufeff"):
             raise GherkinError("(1:1): expected: a feature, got a byte order mark")
-        return _Reader(text).run(), None
+        return _Reader(text, dialects or DIALECTS).run(), None
     except GherkinError as e:
         return [], f"parse_error: {type(e).__name__}: {e}"
 
 
-def parse_files(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, error, steps) of every *.feature file below root, each parsed whole in one task."""
+def parse_files(spark: SparkSession, root: str, dialects: str | None = None, max_files: int | None = None) -> DataFrame:
+    """(file_path, error, steps) of every *.feature file below root, each parsed whole in one task.
+
+    dialects is a file for load_dialects(). max_files takes the first files by path only.
+    """
+    known = load_dialects(dialects) if dialects else None
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.feature").option("recursiveFileLookup", True).load(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done = [parse_text(bytes(c).decode("utf-8", "replace")) for c in pdf["content"]]
+            done = [parse_text(bytes(c).decode("utf-8", "replace"), known) for c in pdf["content"]]
             yield pd.DataFrame({"file_path": pdf["path"], "error": [e for _, e in done], "steps": [s for s, _ in done]})
 
+    if max_files is not None:
+        files = files.join(F.broadcast(files.select("path").orderBy("path").limit(max_files)), "path", "left_semi") if max_files <= 100_000 else files.orderBy("path").limit(max_files)
     return files.select("path", "content").mapInPandas(run, PARSED)
 
 
@@ -177,7 +196,7 @@ def parse_file(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([(path, f"read_error: {str(e).splitlines()[0]}", [])], PARSED)
 
 
-def read_steps(spark: SparkSession, root: str) -> DataFrame:
+def read_steps(spark: SparkSession, root: str, dialects: str | None = None, max_files: int | None = None) -> DataFrame:
     """One row per step of the files without error: file_path and the fields of STEP."""
-    parsed = parse_files(spark, root).filter("error IS NULL")
+    parsed = parse_files(spark, root, dialects, max_files).filter("error IS NULL")
     return parsed.select("file_path", F.explode("steps").alias("s")).select("file_path", "s.*")
