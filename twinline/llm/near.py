@@ -109,7 +109,8 @@ def classes(df: DataFrame, id_: Column, text: Column) -> tuple[DataFrame, DataFr
 
 def buckets(sets: DataFrame) -> DataFrame:
     """(key, class_id): the buckets of each class that it shares with another one."""
-    keyed = cut(sets.select("class_id", "words").mapInArrow(_bands, "class_id long, keys array<long>").select("class_id", F.explode("keys").alias("key")))
+    bands = cut(sets.select("class_id", "words").mapInArrow(_bands, "class_id long, keys array<long>"))
+    keyed = bands.select("class_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     return cut(salted_join(keyed, shared, "key", shared, F.col("class_id")))
 
@@ -122,9 +123,8 @@ def in_blocks(left: DataFrame, right: DataFrame, key: str, a: str, b: str, block
     within a block, twice.
     """
     own = lambda c: F.pmod(F.xxhash64(c), F.col("__n")).cast("int")
-    every = F.sequence(F.lit(0), F.col("__n") - 1)
-    x = left.withColumn("__n", blocks.cast("int")).withColumn("__i", own(a)).withColumn("__j", F.explode(F.filter(every, lambda j: j >= F.col("__i")) if same else every)).drop("__n", "n")
-    y = right.withColumn("__n", blocks.cast("int")).withColumn("__j", own(b)).withColumn("__i", F.explode(F.filter(every, lambda i: i <= F.col("__j")) if same else every)).drop("__n", "n")
+    x = left.withColumn("__n", blocks.cast("int")).withColumn("__i", own(a)).withColumn("__j", F.explode(F.sequence(F.col("__i") if same else F.lit(0), F.col("__n") - 1))).drop("__n", "n")
+    y = right.withColumn("__n", blocks.cast("int")).withColumn("__j", own(b)).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__j") if same else F.col("__n") - 1))).drop("__n", "n")
     return x.join(y, [key, "__i", "__j"]).drop("__i", "__j")
 
 
