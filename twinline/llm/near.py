@@ -100,10 +100,10 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classes(df: DataFrame, id_: Column, text: Column) -> tuple[DataFrame, DataFrame]:
     """(id, class_id) of every text, and (class_id, words) of every class; a class is named by its smallest id."""
-    rows = df.select(id_.cast("long").alias("id"), word_set(text).alias("words")).filter("words IS NOT NULL AND id IS NOT NULL")
+    rows = cut(df.select(id_.cast("long").alias("id"), word_set(text).alias("words")).filter("words IS NOT NULL AND id IS NOT NULL"))
     sets = cut(rows.groupBy("words").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).select("class_id", "words", "n"))
     several = sets.filter("n > 1").select("words", "class_id")
-    members = rows.join(several, "words").select("id", "class_id").unionByName(sets.filter("n = 1").select(F.col("class_id").alias("id"), "class_id"))
+    members = salted_join(rows, several, "words", sets.select("words", "n"), F.col("id")).select("id", "class_id").unionByName(sets.filter("n = 1").select(F.col("class_id").alias("id"), "class_id"))
     return members, sets.select("class_id", "words")
 
 
